@@ -129,5 +129,12 @@ def canonical_label(raw: Column | str) -> Column:
 
 
 def float32_text(value: Column | str) -> Column:
-    """Shortest text that reads back as the same 32-bit float."""
-    return as_col(value).cast("float").cast("string")
+    """Shortest text that reads back as the same 32-bit float: no trailing
+    ``.0``, plain digits down to 0.0001, then ``d.ddde-NN``."""
+    plain = F.regexp_replace(as_col(value).cast("float").cast("string"), r"\.0$", "")
+    sign = F.regexp_extract(plain, "^(-?)", 1)
+    digits = F.regexp_replace(F.regexp_extract(plain, r"^-?(\d+(?:\.\d+)?)E", 1), r"\.0$", "")
+    power = F.regexp_extract(plain, r"E-(\d+)$", 1)
+    tiny = F.concat(sign, digits, F.lit("e-"), F.lpad(power, 2, "0"))
+    small = F.concat(sign, F.lit("0.000"), F.replace(digits, F.lit("."), F.lit("")))
+    return F.when(power == "", plain).when(power == "4", small).otherwise(tiny)

@@ -93,9 +93,9 @@ def holdout_pairs(n_pairs: int, ceiling: int = HOLDOUT_PAIRS) -> int:
     return min(ceiling, n_pairs // 5)
 
 
-def seeded_order(seed: int, *keys: str) -> Column:
+def seeded_order(seed: int, *keys: str, separator: str = UNIT_SEPARATOR) -> Column:
     """Sort key of a reproducible shuffle."""
-    return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    return order_hash(separator, F.lit(str(seed)), *keys)
 
 
 def seeded_shuffle(df: DataFrame, seed: int, keys: Sequence[str] = PLATFORM_DOC) -> DataFrame:
@@ -103,6 +103,11 @@ def seeded_shuffle(df: DataFrame, seed: int, keys: Sequence[str] = PLATFORM_DOC)
     return df.orderBy(seeded_order(seed, *keys), *keys)
 
 
+def seeded_budget(df: DataFrame, n: int, seed: int, keys: Sequence[str] = PLATFORM_DOC) -> DataFrame:
+    """The first ``n`` rows of that shuffle, found without sorting."""
+    return hash_cap(df.withColumn("_seed", F.lit(str(seed))), n, ("_seed", *keys)).drop("_seed")
+
+
 def stratified_reservoir(df: DataFrame, n: int, strata: Sequence[str],
                          keys: Sequence[str] = PLATFORM_DOC,
                          separator: str = UNIT_SEPARATOR) -> DataFrame:

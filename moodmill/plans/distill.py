@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from moodmill.functions.scoring import softmax, tempered
 from moodmill.functions.text import SPACE, aspect_window, collapse_space
-from moodmill.operators.sampling import hash_cap
+from moodmill.operators.sampling import seeded_budget
 from moodmill.schemas import PROBS
 
 ASPECT_PREFIX = "aspect="
@@ -63,11 +63,6 @@ def soft_rows(labeled: DataFrame, temperature: float) -> DataFrame:
     return labeled.withColumn("_c", F.explode(choices)).select("*", "_c.*").drop("_c")
 
 
-def seeded_budget(df: DataFrame, n: int, seed: int, keys: tuple[str, ...]) -> DataFrame:
-    """The first ``n`` rows of a reproducible shuffle."""
-    return hash_cap(df.withColumn("_seed", F.lit(str(seed))), n, ("_seed", *keys)).drop("_seed")
-
-
 def fit_student(tokenized: DataFrame, cfg: DistillConfig) -> PipelineModel:
     """Features are hashed, so the model's size is fixed whatever the corpus."""
     rows = soft_rows(tokenized.select("tokens", *PROBS), cfg.temperature)
