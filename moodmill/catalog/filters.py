@@ -132,14 +132,16 @@ def language_match(spark, d):
     return _ids(flt.language_match(corpus(spark, d), "de"))
 
 
-@query("SELECT 'd-' || doc_id AS doc_id FROM documents WHERE doc_id % 3 = 1")
+@query(with_(CORPUS, _IDS + "language = 'fr'"))
 def version_pin(spark, d):
+    # French documents were labelled by this version, the others by an older one.
     docs = corpus(spark, d)
-    number = F.substring("doc_id", 3, 20).cast("long")
-    versioned = soft_labels(docs).withColumn(
-        "teacher_version", F.when(number % 3 == 1, F.lit(TEACHER)).otherwise(F.lit("older"))
+    french = docs.where("language = 'fr'")
+    others = docs.where("language <> 'fr'")
+    labels = soft_labels(french).unionByName(
+        soft_labels(others).withColumn("teacher_version", F.lit("older"))
     )
-    return flt.version_pin(versioned, TEACHER).select("doc_id")
+    return _ids(flt.version_pin(labels, TEACHER))
 
 
 _FIRST_WORD = "regexp_extract(text, '[A-Za-z]+')"
