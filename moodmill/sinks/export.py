@@ -78,11 +78,21 @@ def aggregate_struct() -> Column:
     )
 
 
+def _in_order(entries: Column, *keys: str) -> Column:
+    """Sort an array of structs by some of their fields (maps have no order)."""
+
+    def compare(a: Column, b: Column) -> Column:
+        left, right = (F.struct(*[x[k] for k in keys]) for x in (a, b))
+        return F.when(left < right, -1).when(left > right, 1).otherwise(0)
+
+    return F.array_sort(entries, compare)
+
+
 def nest_aspects(aspect_scores: DataFrame, key: Sequence[str]) -> DataFrame:
     """Aspect scores gathered per document in request order. The number of
     aspects of one document bounds each array."""
     entry = F.struct("aspect_index", F.struct("aspect", score_struct().alias("score")).alias("s"))
-    gathered = aspect_scores.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("_a"))
+    gathered = aspect_scores.groupBy(*key).agg(_in_order(F.collect_list(entry), "aspect_index").alias("_a"))
     return gathered.select(*key, F.transform("_a", lambda e: e["s"]).alias("aspects"))
 
 
@@ -154,12 +164,13 @@ def analysis_envelope(analysis) -> DataFrame:
     request's result, which the per-platform limit bounds."""
 
     def gather(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-        pairs = F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), value.alias("value"))))
+        pairs = _in_order(F.collect_list(F.struct(F.col(key).alias("key"), value.alias("value"))), "key")
         return df.agg(F.map_from_entries(pairs).alias(name))
 
     items = topic_result_structs(analysis.results, analysis.aspect_scores).agg(
         F.transform(
-            F.sort_array(F.collect_list(F.struct("platform", "doc_id", "item"))), lambda e: e["item"]
+            _in_order(F.collect_list(F.struct("platform", "doc_id", "item")), "platform", "doc_id"),
+            lambda e: e["item"],
         ).alias("results")
     )
     whole = one_row(
