@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -31,8 +31,8 @@ _FLOATS = ("confidence", "polarity", "p_negative", "p_neutral", "p_positive")
 
 
 def scratch(spark, name: str) -> str:
-    """A fresh folder every executor can reach."""
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=None if "://" in checkpoint_dir(spark) else checkpoint_dir(spark))
+    """A fresh folder every executor can reach; Spark creates it on writing."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _inline(spark, d):
