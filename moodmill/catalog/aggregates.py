@@ -26,7 +26,7 @@ from moodmill.plans.training import prep_stats as stats
 
 
 def _scored(spark, d):
-    return score_documents(corpus(spark, d), BACKEND)
+    return score_documents(corpus(spark, d, spread=True), BACKEND)
 
 
 @query(with_(CORPUS, scored_sql("corpus"), f"SELECT {aggregate_sql()} FROM scored"))
@@ -47,7 +47,7 @@ def sentiment_by_platform(spark, d):
 
 @query(with_(CORPUS, _PAIRS, scored_sql("windows"), f"SELECT {aggregate_sql('aspect,')} FROM scored GROUP BY aspect"))
 def sentiment_by_aspect(spark, d):
-    return rounded(A.by_aspect(score_aspects(corpus(spark, d), ASPECTS, BACKEND)), "mean_polarity")
+    return rounded(A.by_aspect(score_aspects(corpus(spark, d, spread=True), ASPECTS, BACKEND)), "mean_polarity")
 
 
 @query(
@@ -90,7 +90,7 @@ def per_platform_counts(spark, d):
     )
 )
 def label_integrity(spark, d):
-    return rounded(A.label_integrity(soft_labels(corpus(spark, d), BACKEND)), "min_sum", "max_sum")
+    return rounded(A.label_integrity(soft_labels(corpus(spark, d, spread=True), BACKEND)), "min_sum", "max_sum")
 
 
 @query(

@@ -48,7 +48,7 @@ _RECALLS = ("recall_negative", "recall_neutral", "recall_positive")
 
 
 def _aligned(spark, d):
-    docs = corpus(spark, d)
+    docs = corpus(spark, d, spread=True)
     return align_student_teacher(soft_labels(docs, STUDENT), soft_labels(docs, BACKEND))
 
 
@@ -110,7 +110,7 @@ def macro_f1(spark, d):
     )
 )
 def champion_gate(spark, d):
-    docs = corpus(spark, d)
+    docs = corpus(spark, d, spread=True)
     teacher = soft_labels(docs, BACKEND)
     champion = align_student_teacher(teacher, teacher)
     return longs(

@@ -84,7 +84,7 @@ def training_set_capped(spark, d):
 
 def _stored_corpus(spark, d, name: str) -> str:
     root = scratch(spark, name)
-    rows = corpus(spark, d).withColumn("dt", F.to_date("posted_at")).drop("language", "url", "posted_at")
+    rows = corpus(spark, d).withColumn("dt", F.lit("2024-03-01").cast("date")).drop("language", "url", "posted_at")
     # The folder is the platform, as a harvester writes it.
     write_partitioned(rows, f"{root}/documents")
     write_partitioned(tombstones(spark, d).withColumn("dt", F.lit("2024-03-01").cast("date")), f"{root}/tombstones")
@@ -106,7 +106,7 @@ def build_training_set(spark, d):
 
 
 def _stored_train(spark, d, root: str) -> str:
-    docs = corpus(spark, d).select("platform", "doc_id", "text")
+    docs = corpus(spark, d, spread=True).select("platform", "doc_id", "text")
     docs.write.parquet(f"{root}/train")
     return f"{root}/train"
 
@@ -160,7 +160,7 @@ _GATE = GateConfig(min_agreement=0.5, min_class_recall=0.1, min_eval_rows=10)
 def distill_student(spark, d):
     """Gate of a student trained on the head of the labelled documents and
     judged on their tail. Iterative, so there is no SQL for it."""
-    docs = corpus(spark, d)
+    docs = corpus(spark, d, spread=True)
     joined = L.train_label_join(docs, soft_labels(docs, BACKEND), TEACHER)
     train, held = split_docs(joined, floor=100)
     student = KD.StudentBackend(KD.distill_student(train, _DISTILL), _DISTILL.temperature)

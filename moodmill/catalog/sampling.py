@@ -13,6 +13,7 @@ from moodmill.operators import sampling as Z
 from moodmill.operators.scoring import score_documents
 from moodmill.operators.trend import newest_documents as newest
 from moodmill.plans.training import CAP_SEPARATOR
+from moodmill.session import checkpoint_dir
 
 _UNIT = "md5(platform || chr(31) || doc_id)"
 
@@ -46,7 +47,9 @@ ORDER BY md5(platform || chr(31) || doc_id || chr(31) || aspect), platform, doc_
     )
 )
 def pair_cap(spark, d):
-    return L.mined_pairs(corpus(spark, d), max_pairs=400).select("platform", "doc_id", "aspect")
+    checkpoint_dir(spark)
+    mined = L.all_mined_pairs(corpus(spark, d, spread=True)).select("platform", "doc_id", "aspect").checkpoint()
+    return Z.hash_cap(mined, 400, L.PAIR_KEY)
 
 
 _TAIL = f"""SELECT platform, doc_id, CASE WHEN r > total - {{held}} THEN 'held out' ELSE 'train' END AS part FROM (
@@ -105,12 +108,12 @@ def seeded_budget(spark, d):
         CORPUS,
         scored_sql("corpus"),
         f"""SELECT label, doc_id FROM scored QUALIFY row_number() OVER (
-  PARTITION BY label ORDER BY {_UNIT}, platform, doc_id) <= greatest(200 // (SELECT count(DISTINCT label) FROM scored), 1)""",
+  PARTITION BY label ORDER BY {_UNIT}, platform, doc_id) <= 67""",
     )
 )
 def stratified_reservoir(spark, d):
-    scored = score_documents(corpus(spark, d), BACKEND)
-    return Z.stratified_reservoir(scored, 200, ["label"]).select("label", "doc_id")
+    scored = score_documents(corpus(spark, d, spread=True), BACKEND)
+    return Z.stratified_reservoir(scored, 201, ["label"], n_strata=3).select("label", "doc_id")
 
 
 @query(

@@ -68,7 +68,7 @@ def lexicon_counts_trim(spark, d):
 
 @query(with_(CORPUS, scored_sql("corpus"), f"SELECT platform, doc_id, {SCORES_OUT} FROM scored"))
 def score_all_documents(spark, d):
-    scored = score_documents(corpus(spark, d), BACKEND)
+    scored = score_documents(corpus(spark, d, spread=True), BACKEND)
     return rounded(scored.select("platform", "doc_id", *K.SCORE_COLUMNS), *SCORE_DOUBLES)
 
 
@@ -82,7 +82,7 @@ UNION ALL SELECT doc_id, 'positive', round(p_positive, 6) FROM scored""",
     )
 )
 def probability_map(spark, d):
-    scored = score_documents(corpus(spark, d), BACKEND)
+    scored = score_documents(corpus(spark, d, spread=True), BACKEND)
     return scored.select("doc_id", F.explode(S.prob_map()).alias("class", "p")).withColumn("p", F.round("p", 6))
 
 
@@ -99,7 +99,7 @@ _SUM = " + ".join(_POW.values())
     )
 )
 def tempered_probabilities(spark, d):
-    scored = score_documents(corpus(spark, d), BACKEND)
+    scored = score_documents(corpus(spark, d, spread=True), BACKEND)
     names = [f"t_{c}" for c in S.CLASSES]
     return rounded(
         scored.select("doc_id", *[p.alias(n) for p, n in zip(S.tempered(3.0), names, strict=True)]), *names
@@ -120,7 +120,7 @@ windows AS (
 
 @query(with_(CORPUS, _PAIRS, scored_sql("windows"), f"SELECT platform, doc_id, aspect, {SCORES_OUT} FROM scored"))
 def score_shared_aspects(spark, d):
-    scored = score_aspects(corpus(spark, d), ASPECTS, BACKEND)
+    scored = score_aspects(corpus(spark, d, spread=True), ASPECTS, BACKEND)
     return rounded(scored.select("platform", "doc_id", "aspect", *K.SCORE_COLUMNS), *SCORE_DOUBLES)
 
 

@@ -10,6 +10,7 @@ from moodmill.catalog.exports import scratch
 from moodmill.catalog.registry import query
 from moodmill.catalog.tables import BACKEND, scored_sql, table, with_
 from moodmill.operators.revocation import revoke
+from moodmill.session import spread_small
 from moodmill.sources.corpus import read_documents, read_tombstones
 from moodmill.streaming import firehose as J
 
@@ -52,7 +53,7 @@ def _as_events(events: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    return _as_events(table(spark, d, "events"), table(spark, d, "documents"))
+    return _as_events(spread_small(table(spark, d, "events")), table(spark, d, "documents"))
 
 
 _EVENTS = r"""

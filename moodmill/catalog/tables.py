@@ -13,6 +13,7 @@ from moodmill.functions.scoring import Lexicon
 from moodmill.functions.times import RFC3339
 from moodmill.operators.platforms import PLATFORMS
 from moodmill.operators.scoring import LexiconBackend
+from moodmill.session import spread_small
 
 NOW = "2024-03-01T00:00:00Z"
 TODAY = "2024-02-12"
@@ -35,8 +36,11 @@ def created(doc_id: Column) -> Column:
     return F.timestamp_seconds(F.lit(1704067200) + doc_id * 3600)
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Documents as corpus rows; ``spread`` for CPU-bound queries."""
     docs = table(spark, sf_dir, "documents")
+    if spread:
+        docs = spread_small(docs)
     posted = created(F.col("doc_id"))
     return docs.select(
         F.col("source").alias("platform"),

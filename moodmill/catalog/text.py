@@ -11,11 +11,12 @@ from moodmill.functions import hashing as H
 from moodmill.functions import text as X
 from moodmill.functions import times as TM
 from moodmill.functions.aspects import STOP_WORDS, candidate_phrases, mine_aspects, rank_aspects
+from moodmill.session import spread_small
 
 
 @query(f"SELECT page_id, {PAGE_TEXT} AS text FROM pages")
 def strip_html(spark, d):
-    return table(spark, d, "pages").select("page_id", X.strip_html("html").alias("text"))
+    return spread_small(table(spark, d, "pages")).select("page_id", X.strip_html("html").alias("text"))
 
 
 @query(
@@ -25,7 +26,7 @@ SELECT page_id, regexp_replace(replace(replace(replace(replace(
   '&quot;', chr(34)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS text FROM pages"""
 )
 def clean_html(spark, d):
-    return table(spark, d, "pages").select("page_id", X.clean_html("html").alias("text"))
+    return spread_small(table(spark, d, "pages")).select("page_id", X.clean_html("html").alias("text"))
 
 
 @query(f"SELECT doc_id, {NORM} AS normalized FROM documents")
@@ -98,20 +99,20 @@ ranked AS (
 
 @query(with_(_PHRASES, "SELECT doc_id, array_to_string(p, ' ') AS phrase, count(*) AS times FROM phrases GROUP BY ALL"))
 def candidate_phrase_counts(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread_small(table(spark, d, "documents"))
     phrases = docs.select("doc_id", F.explode(candidate_phrases("text")).alias("phrase"))
     return phrases.groupBy("doc_id", "phrase").agg(F.count("*").alias("times"))
 
 
 @query(with_(_RANKED, "SELECT doc_id, aspect, rank FROM ranked WHERE rank < 2"))
 def mine_aspects_top2(spark, d):
-    mined = table(spark, d, "documents").select("doc_id", F.posexplode(mine_aspects("text")).alias("rank", "aspect"))
+    mined = spread_small(table(spark, d, "documents")).select("doc_id", F.posexplode(mine_aspects("text")).alias("rank", "aspect"))
     return longs(mined, "rank")
 
 
 @query(with_(_RANKED, "SELECT doc_id, count(*) AS aspects, min(aspect) FILTER (rank = 0) AS best FROM ranked GROUP BY doc_id"))
 def rank_all_aspects(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread_small(table(spark, d, "documents"))
     ranked = docs.select("doc_id", F.posexplode(rank_aspects(candidate_phrases("text"))).alias("rank", "aspect"))
     return ranked.groupBy("doc_id").agg(
         F.count("*").alias("aspects"), F.min(F.when(F.col("rank") == 0, F.col("aspect"))).alias("best")

@@ -61,7 +61,7 @@ def _series_out(series):
 
 
 def _daily(spark, d):
-    return history(corpus(spark, d), TOPICS, BACKEND)
+    return history(corpus(spark, d, spread=True), TOPICS, BACKEND)
 
 
 @query(with_(*_TAGGED, _DAILY, f"SELECT {_STATS} FROM daily"))
@@ -97,7 +97,7 @@ firsts AS (
     )
 )
 def topic_daily_all_platforms(spark, d):
-    return _series_out(T.topic_daily_all(tagged_with_topics(score_documents(corpus(spark, d), BACKEND), TOPICS)))
+    return _series_out(T.topic_daily_all(tagged_with_topics(score_documents(corpus(spark, d, spread=True), BACKEND), TOPICS)))
 
 
 @query(with_(*_TAGGED, _DAILY, "SELECT topic, platform FROM daily WHERE n_negative + n_neutral + n_positive <> sample_size"))
@@ -153,7 +153,7 @@ def topic_trend(spark, d):
 
 
 def _by_topic(spark, d):
-    tagged = tagged_with_topics(score_documents(corpus(spark, d), BACKEND), TOPICS)
+    tagged = tagged_with_topics(score_documents(corpus(spark, d, spread=True), BACKEND), TOPICS)
     return T.topic_daily(tagged, keys=("topic",))
 
 

@@ -110,18 +110,17 @@ def seeded_budget(df: DataFrame, n: int, seed: int, keys: Sequence[str] = PLATFO
 
 def stratified_reservoir(df: DataFrame, n: int, strata: Sequence[str],
                          keys: Sequence[str] = PLATFORM_DOC,
-                         separator: str = UNIT_SEPARATOR) -> DataFrame:
+                         separator: str = UNIT_SEPARATOR, n_strata: int | None = None) -> DataFrame:
     """``n`` rows split evenly over the strata, first in hash order within each.
 
     Kept per map task before the shuffle (window group limit), so a stratum of
-    any size sends at most its share per task.
+    any size sends at most its share per task. Pass ``n_strata`` where it is
+    known, such as the three classes; it is counted otherwise.
     """
-    labels = [r[0] for r in df.select(F.struct(*strata)).distinct().limit(n + 1).collect()]
-    if not labels:
-        return df
-    share = max(n // len(labels), 1)
+    if n_strata is None:
+        n_strata = df.select(*strata).distinct().count()
+    share = max(n // max(n_strata, 1), 1)
     order = Window.partitionBy(*strata).orderBy(order_hash(separator, *keys), *keys)
     return (
         df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= share).drop("_rank")
     )
-

@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -65,16 +65,19 @@ def soft_rows(labeled: DataFrame, temperature: float) -> DataFrame:
 
 def fit_student(tokenized: DataFrame, cfg: DistillConfig) -> PipelineModel:
     """Features are hashed, so the model's size is fixed whatever the corpus."""
-    rows = soft_rows(tokenized.select("tokens", *PROBS), cfg.temperature)
-    stages = [
-        HashingTF(inputCol="tokens", outputCol="tf", numFeatures=cfg.num_features),
-        IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(
+    tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=cfg.num_features)
+    counted = tf.transform(tokenized.select("tokens", *PROBS)).drop("tokens").persist()
+    try:
+        idf = IDF(inputCol="tf", outputCol="features").fit(counted)
+        # Words are hashed once per document, not once per class.
+        rows = soft_rows(idf.transform(counted), cfg.temperature).select("features", "target", "weight")
+        logistic = LogisticRegression(
             featuresCol="features", labelCol="target", weightCol="weight", family="multinomial",
             maxIter=cfg.max_iter, regParam=cfg.reg,
-        ),
-    ]
-    return Pipeline(stages=stages).fit(rows)
+        )
+        return PipelineModel([tf, idf, logistic.fit(rows)])
+    finally:
+        counted.unpersist()
 
 
 def distill_student(labeled: DataFrame, cfg: DistillConfig = DistillConfig()) -> PipelineModel:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at any scale. Shuffle partition counts are left to AQE:
 # start high on a cluster, let coalescing bring small stages down.
@@ -52,3 +52,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="moodmill-ckpt-")
     spark.sparkContext.setCheckpointDir(made)
     return os.fspath(made)
+
+
+def spread_small(scan: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores.
+
+    A small table in one file would otherwise be scored or mined by one task.
+    Tables of any size worth a cluster have more splits and are left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

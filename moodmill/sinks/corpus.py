@@ -49,6 +49,9 @@ def write_partitioned(df: DataFrame, base: str, batch: str | None = None) -> Non
     write leaves no second copy.
     """
     path = f"{base}/batch={batch}" if batch else base
+    # Rebalancing gathers each folder's rows into files of the advisory size: no
+    # file per task and folder, and a platform with most rows is still split.
+    df = df.hint("rebalance", "dt", "platform")
     writer = df.write.mode("overwrite" if batch else "append").partitionBy("dt", "platform")
     writer.option("compression", "gzip").json(path)
 

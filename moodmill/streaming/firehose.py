@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from moodmill.functions.hashing import HASH_VERSION, content_sha256, in_sample
-from moodmill.functions.text import is_blank, strip_space
+from moodmill.functions.text import strip_space
 from moodmill.functions.times import rfc3339
 from moodmill.operators.filters import allows_langs, within_bytes
 from moodmill.operators.scoring import DEFAULT_BACKEND, Backend, score_documents
@@ -64,12 +64,12 @@ def event_time(time_us: str = "time_us") -> Column:
 def route_events(events: DataFrame, admit: FirehoseFilter = FirehoseFilter(), platform: str = PLATFORM) -> DataFrame:
     """One row per event with its ``route``: document, doc_tombstone,
     account_tombstone, skipped (a post the filter refuses) or ignored."""
-    operation = F.col("commit.operation")
+    events = events.withColumn("_text", strip_space("commit.record.text"))
+    operation, text = F.col("commit.operation"), F.col("_text")
     is_post = (F.col("kind") == "commit") & (F.col("commit.collection") == POST_COLLECTION)
     is_new = is_post & operation.isin("create", "update") & F.col("commit.record").isNotNull()
-    text = strip_space("commit.record.text")
     doc_id = firehose_doc_id()
-    keep = ~is_blank(text) & admit.admits(doc_id, text, F.col("commit.record.langs"))
+    keep = (F.coalesce(text, F.lit("")) != "") & admit.admits(doc_id, text, F.col("commit.record.langs"))
     # An account event that does not say "active" counts as a deactivation.
     gone = (
         (F.col("kind") == "account")
