@@ -44,7 +44,7 @@ def parse_requests(raw: DataFrame, payload: str = "payload") -> DataFrame:
 def read_inline_documents(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
     """Rows (index, id, text, language, aspects, ...) of request files."""
     if kind == "json":
-        bodies = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("payload"))
+        bodies = spark.read.text(path, wholetext=True).select(F.col("value").alias("payload"))
         return parse_requests(bodies)
     if kind != "xml":
         raise ValueError(f"unsupported request format: {kind}")
