@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodmill.session import local_table
+
 # Fixed values: (id, display name, durable, backfillable, why it is not durable).
 PLATFORMS = (
     ("bluesky", "Bluesky", True, True, ""),
@@ -25,7 +27,8 @@ PLATFORMS = (
 def platform_table(spark: SparkSession, disabled: Sequence[str] = ()) -> DataFrame:
     """id, display_name, durable, backfillable, reason, enabled."""
     rows = [(*p, p[0] not in set(disabled)) for p in PLATFORMS]
-    return spark.createDataFrame(
+    return local_table(
+        spark,
         rows,
         "platform string, display_name string, durable boolean, backfillable boolean, "
         "reason string, enabled boolean",
@@ -137,7 +140,7 @@ def country_table(spark: SparkSession, path: str | None = None) -> DataFrame:
     if path:
         return spark.read.schema("key string, fips string").option("header", True).csv(path)
     rows = [(key, fips) for fips, *keys in COUNTRIES for key in keys]
-    return spark.createDataFrame(rows, "key string, fips string")
+    return local_table(spark, rows, "key string, fips string")
 
 
 def country_lookup(df: DataFrame, countries: DataFrame, location: str = "location") -> DataFrame:

@@ -67,7 +67,7 @@ def length_rank(df: DataFrame, keys: Sequence[str] = ("platform", "doc_id"), tex
     """
     group = ["_length", "_slice"]
     keyed = df.withColumns(
-        {"_length": F.length(text), "_hash": order_hash(UNIT_SEPARATOR, *keys)}
+        {"_length": F.coalesce(F.length(text), F.lit(0)), "_hash": order_hash(UNIT_SEPARATOR, *keys)}
     ).withColumn("_slice", F.substring("_hash", 1, 3))
     counts = keyed.groupBy(*group).agg(F.count("*").alias("_rows"))
     within_length = counts.withColumn(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodmill.functions.times import utc_now
+from moodmill.session import local_table
 from moodmill.sinks.corpus import write_partitioned
 from moodmill.sources.archive import archive_rows, corpus_rows, pending_months
 
@@ -24,7 +25,7 @@ def done_months(spark: SparkSession, root: str) -> DataFrame:
     except PySparkException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], DONE_SCHEMA)
+        return local_table(spark, [], DONE_SCHEMA)
 
 
 def backfill_month(archive: DataFrame, root: str, month: str, *, low: int = 40, high: int = 2000,
@@ -43,7 +44,7 @@ def backfill_month(archive: DataFrame, root: str, month: str, *, low: int = 40,
     batch = f"backfill-{month}"
     write_partitioned(docs, f"{root}/documents", batch)
     kept = spark.read.schema("doc_id string").json(f"{root}/documents/batch={batch}").count()
-    record = spark.createDataFrame([(month, bool(limit), kept)], DONE_SCHEMA)
+    record = local_table(spark, [(month, bool(limit), kept)], DONE_SCHEMA)
     record.coalesce(1).write.mode("append").json(f"{root}/backfill_done")
     return kept
 

@@ -16,6 +16,7 @@ from moodmill.operators.dedupe import dedupe_by_id
 from moodmill.operators.platforms import missing_platforms, require_some_source, select_platforms
 from moodmill.operators.ranking import DEFAULT_LIMIT, limit_per_platform, newest_first
 from moodmill.operators.scoring import DEFAULT_BACKEND, Backend, score_aspects, score_documents
+from moodmill.session import local_table
 
 
 @dataclass
@@ -82,14 +83,14 @@ def analyze_topic(docs: DataFrame, topic: str, *, platforms: DataFrame, wanted:
     now = now or utc_now()
     asked = select_platforms(platforms, wanted)
     spark = docs.sparkSession
-    warnings = spark.createDataFrame([], "platform string, message string")
-    partial = False
+    dropped = []
     if outcomes is not None:
         dropped = require_some_source(asked, missing_platforms(asked, outcomes))
-        partial = bool(dropped)
-        warnings = spark.createDataFrame(dropped, warnings.schema)
-    answered = asked.select("platform").join(warnings, "platform", "left_anti")
-    usable = docs.join(answered, "platform", "left_semi")
+    # A handful of names from the platform table: as a plain filter they reach
+    # the scan and prune platform folders.
+    silent = {r["platform"] for r in dropped}
+    answered = sorted({r["platform"] for r in asked.select("platform").collect()} - silent)
+    usable = docs.where(F.col("platform").isin(*answered))
     chosen = topic_documents(usable, topic, limit, now=now, **search)
     scored = score_documents(chosen, backend).withColumn("analyzed_at", now_literal(now))
     pairs = score_aspects(chosen, aspects, backend)
@@ -100,8 +101,8 @@ def analyze_topic(docs: DataFrame, topic: str, *, platforms: DataFrame, wanted:
         by_platform=A.by_platform(scored),
         by_aspect=A.by_aspect(pairs),
         aspect_scores=pairs,
-        warnings=warnings,
-        partial=partial,
+        warnings=local_table(spark, [tuple(r) for r in dropped], "platform string, message string"),
+        partial=bool(dropped),
     )
 
 

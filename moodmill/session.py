@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Settings that matter at any scale. Shuffle partition counts are left to AQE:
 # start high on a cluster, let coalescing bring small stages down.
@@ -62,3 +67,18 @@ def spread_small(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def local_table(spark: SparkSession, rows: Sequence[Sequence[Any]], schema: T.StructType | str) -> DataFrame:
+    """A small table of constants whose size the planner knows.
+
+    Rows handed over as an Arrow table become a local relation, so joins with it
+    are broadcast because it is small; a plain list becomes an RDD of unknown
+    size, and its joins shuffle the big side.
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema.fields)
+    arrays = [pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moodmill.schemas import CORPUS, OPTIONAL, REQUIRED, TOMBSTONE
+from moodmill.session import local_table
 
 LAYOUTS = ("dt=*", "batch=*/dt=*")
 
@@ -59,7 +60,7 @@ def read_tombstones(spark: SparkSession, root: str) -> DataFrame:
     """Revocations; none is an empty table."""
     tombs = read_partitioned(spark, f"{root}/tombstones", TOMBSTONE)
     if tombs is None:
-        return spark.createDataFrame([], TOMBSTONE)
+        return local_table(spark, [], TOMBSTONE)
     return tombs.select(*TOMBSTONE.fieldNames())
 
 
@@ -71,5 +72,5 @@ def read_labels(spark: SparkSession, path: str, teacher_version: str, schema: T.
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        labels = spark.createDataFrame([], schema)
+        labels = local_table(spark, [], schema)
     return labels.where(F.col("teacher_version") == teacher_version).select(*schema.fieldNames())
