@@ -108,12 +108,12 @@ def seeded_budget(spark, d):
         CORPUS,
         scored_sql("corpus"),
         f"""SELECT label, doc_id FROM scored QUALIFY row_number() OVER (
-  PARTITION BY label ORDER BY {_UNIT}, platform, doc_id) <= 67""",
+  PARTITION BY label ORDER BY {_UNIT}, platform, doc_id) <= 201 // (SELECT count(DISTINCT label) FROM scored)""",
     )
 )
 def stratified_reservoir(spark, d):
     scored = score_documents(corpus(spark, d, spread=True), BACKEND)
-    return Z.stratified_reservoir(scored, 201, ["label"], n_strata=3).select("label", "doc_id")
+    return Z.stratified_reservoir(scored, 201, "label").select("label", "doc_id")
 
 
 @query(

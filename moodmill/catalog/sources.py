@@ -379,16 +379,16 @@ def pending_archive_months(spark, d):
 
 
 @query(
-    """SELECT conv_id || '-' || turn AS id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS index,
+    """SELECT conv_id || '-' || turn AS id, (row_number() OVER (PARTITION BY conv_id, turn // 20 ORDER BY turn) - 1)::BIGINT AS index,
   role AS language, text FROM conversations"""
 )
 def read_inline_documents(spark, d):
-    # One request per conversation, its turns as documents.
+    # A request holds up to twenty turns of a conversation as its documents.
     turns = table(spark, d, "conversations")
     doc = F.struct(
         F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("language"), "text"
     )
-    bodies = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", doc.alias("d")))).alias("t"))
+    bodies = turns.groupBy("conv_id", F.floor(F.col("turn") / ITEMS_PER_RESPONSE)).agg(F.sort_array(F.collect_list(F.struct("turn", doc.alias("d")))).alias("t"))
     raw = bodies.select(
         F.to_json(
             F.struct(F.transform("t", lambda x: x["d"]).alias("documents"), F.lit(False).alias("include_aspects"))

@@ -108,13 +108,16 @@ def macro_f1(aligned: DataFrame) -> DataFrame:
 
 
 def champion_gate(candidate: DataFrame, champion: DataFrame, baseline_agreement: float,
-                  champion_slack: float = 0.01, baseline_slack: float = 0.02) -> DataFrame:
+                  champion_slack: float = 0.01, baseline_slack: float = 0.02,
+                  baseline_f1: float | None = None, f1_slack: float = 0.02) -> DataFrame:
     """Candidate against the serving model, both aligned on the same held-out
-    slice, and against a frozen baseline, so small losses cannot add up."""
+    slice, and against a frozen baseline, so small losses cannot add up. With
+    ``baseline_f1`` the candidate's macro F1 has a floor as well."""
     new = gate_metrics(candidate).select(F.col("agreement").alias("candidate"))
     old = gate_metrics(champion).select(F.col("agreement").alias("champion"))
-    one = one_row(new, old)
+    one = one_row(new, old, macro_f1(candidate))
     floor = F.greatest(F.col("champion") - champion_slack, F.lit(baseline_agreement - baseline_slack))
-    return one.withColumn("floor", floor).withColumn("passed", F.col("candidate") >= F.col("floor"))
-
-
+    enough = F.col("candidate") >= floor
+    if baseline_f1 is not None:
+        enough = enough & (F.col("macro_f1") >= baseline_f1 - f1_slack)
+    return one.select("candidate", "champion", "macro_f1", floor.alias("floor"), enough.alias("passed"))

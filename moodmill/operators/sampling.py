@@ -108,19 +108,41 @@ def seeded_budget(df: DataFrame, n: int, seed: int, keys: Sequence[str] = PLATFO
     return hash_cap(df.withColumn("_seed", F.lit(str(seed))), n, ("_seed", *keys)).drop("_seed")
 
 
-def stratified_reservoir(df: DataFrame, n: int, strata: Sequence[str],
-                         keys: Sequence[str] = PLATFORM_DOC,
-                         separator: str = UNIT_SEPARATOR, n_strata: int | None = None) -> DataFrame:
+# Strata are classes, languages and the like: a few rows on the driver.
+MAX_STRATA = 10_000
+
+
+def stratified_reservoir(df: DataFrame, n: int, stratum: str, keys: Sequence[str] = PLATFORM_DOC,
+                         separator: str = UNIT_SEPARATOR) -> DataFrame:
     """``n`` rows split evenly over the strata, first in hash order within each.
 
-    Kept per map task before the shuffle (window group limit), so a stratum of
-    any size sends at most its share per task. Pass ``n_strata`` where it is
-    known, such as the three classes; it is counted otherwise.
+    The same cut as ``hash_cap``, found for all strata at once, so a stratum
+    with most of the rows is never gathered anywhere.
     """
-    if n_strata is None:
-        n_strata = df.select(*strata).distinct().count()
-    share = max(n // max(n_strata, 1), 1)
-    order = Window.partitionBy(*strata).orderBy(order_hash(separator, *keys), *keys)
-    return (
-        df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= share).drop("_rank")
+    keyed = df.select(F.col(stratum).alias("s"), _ordered_key(keys, (), separator).alias("k")).withColumn(
+        "prefix", F.substring("k.h", 1, PREFIX_DIGITS)
+    )
+    counts = keyed.groupBy("s", "prefix").agg(F.count("*").alias("rows"))
+    running = counts.withColumn("upto", F.sum("rows").over(Window.partitionBy("s").orderBy("prefix")))
+    sizes = counts.groupBy("s").agg(F.sum("rows").alias("total")).limit(MAX_STRATA + 1).collect()
+    if len(sizes) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata in {stratum}")
+    share = max(n // max(len(sizes), 1), 1)
+    crowded = [r["s"] for r in sizes if r["total"] > share]
+    if not crowded:
+        return df
+    at = (
+        running.where(F.col("upto") >= share).groupBy("s")
+        .agg(F.min(F.struct("prefix", "upto", "rows")).alias("at"))
+        .select("s", "at.prefix", (F.lit(share) - (F.col("at.upto") - F.col("at.rows"))).alias("inside"))
     )
+    # Only keys of one prefix per stratum are ranked.
+    rank = F.row_number().over(Window.partitionBy("s").orderBy("k"))
+    edge = keyed.join(at, ["s", "prefix"]).withColumn("_rank", rank).where(F.col("_rank") <= F.col("inside"))
+    cuts = edge.groupBy("s").agg(F.max("k").alias("k")).collect()
+    key = _ordered_key(keys, (), separator)
+    keep = ~F.coalesce(F.col(stratum).isin(*crowded), F.lit(False))
+    for cut in cuts:
+        literal = F.struct(F.lit(cut["k"]["h"]), *[F.lit(cut["k"][c]) for c in keys])
+        keep = keep | ((F.col(stratum) == F.lit(cut["s"])) & (key <= literal))
+    return df.where(keep)

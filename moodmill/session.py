@@ -20,6 +20,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Per-platform limits above the default of 1000 are cut before the shuffle too.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 

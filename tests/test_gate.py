@@ -76,6 +76,7 @@ def test_champion_and_baseline(spark):
     assert G.champion_gate(good, worse, 0.9).first()["passed"]
     assert not G.champion_gate(worse, good, 0.5).first()["passed"]
     assert not G.champion_gate(worse, worse, 1.0).first()["passed"]
+    assert not G.champion_gate(worse, worse, 0.5, baseline_f1=0.99).first()["passed"]
 
 
 def test_alignment_check(spark):
