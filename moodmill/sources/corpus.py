@@ -7,6 +7,8 @@ Two layouts live side by side under ``<root>/documents`` and
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +51,12 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
     docs = read_partitioned(spark, f"{root}/documents", CORPUS)
     if docs is None:
         raise FileNotFoundError(f"no corpus documents under {root}/documents")
-    # Each probe stops at the first row that has the column.
-    missing = [c for c in REQUIRED if docs.where(F.col(c).isNotNull()).isEmpty()]
+    # Stops at the first complete row; only without one is each column probed.
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in REQUIRED])
+    if docs.where(complete).isEmpty():
+        missing = [c for c in REQUIRED if docs.where(F.col(c).isNotNull()).isEmpty()]
+    else:
+        missing = []
     if missing:
         raise ValueError(f"corpus rows are missing required columns: {sorted(missing)}")
     return docs.select(*REQUIRED, *OPTIONAL, "harvested_at", "dt")
