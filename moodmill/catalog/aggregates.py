@@ -73,7 +73,7 @@ def topic_rollup(spark, d):
     )
 )
 def prep_stats(spark, d):
-    return stats(corpus(spark, d), tombstones(spark, d))
+    return stats(corpus(spark, d, spread=True), tombstones(spark, d))
 
 
 @query(with_(CORPUS, "SELECT platform, count(*) AS rows FROM corpus GROUP BY platform"))

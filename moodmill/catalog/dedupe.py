@@ -19,7 +19,7 @@ from moodmill.operators.dedupe import union_sources
     )
 )
 def dedupe_content(spark, d):
-    return D.dedupe_content(corpus(spark, d)).select("platform", "doc_id", "content_sha256")
+    return D.dedupe_content(corpus(spark, d, spread=True)).select("platform", "doc_id", "content_sha256")
 
 
 @query(
@@ -93,6 +93,6 @@ def distinct_aspects(spark, d):
 )
 def latest_copy_per_platform(spark, d):
     order = [F.col("posted_at").desc(), F.col("doc_id")]
-    return D.keep_first(corpus(spark, d), ["content_sha256", "platform"], order).select(
+    return D.keep_first(corpus(spark, d, spread=True), ["content_sha256", "platform"], order).select(
         "platform", "doc_id", "content_sha256"
     )

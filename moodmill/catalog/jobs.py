@@ -74,12 +74,12 @@ _CAP = "ORDER BY md5(platform || '|' || doc_id), platform, doc_id LIMIT 200"
 
 @query(with_(CORPUS, TOMBSTONES, ALIVE, _IDS))
 def training_set(spark, d):
-    return training(corpus(spark, d), tombstones(spark, d)).select("platform", "doc_id", "content_sha256")
+    return training(corpus(spark, d, spread=True), tombstones(spark, d)).select("platform", "doc_id", "content_sha256")
 
 
 @query(with_(CORPUS, TOMBSTONES, ALIVE, f"{_IDS} {_CAP}"))
 def training_set_capped(spark, d):
-    return training(corpus(spark, d), tombstones(spark, d), 200).select("platform", "doc_id", "content_sha256")
+    return training(corpus(spark, d, spread=True), tombstones(spark, d), 200).select("platform", "doc_id", "content_sha256")
 
 
 def _stored_corpus(spark, d, name: str) -> str:

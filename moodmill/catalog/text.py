@@ -31,12 +31,12 @@ def clean_html(spark, d):
 
 @query(f"SELECT doc_id, {NORM} AS normalized FROM documents")
 def normalize_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.normalize_text("text").alias("normalized"))
+    return spread_small(table(spark, d, "documents")).select("doc_id", X.normalize_text("text").alias("normalized"))
 
 
 @query(f"SELECT doc_id, sha256({NORM}) AS content_sha256, 1::BIGINT AS hash_version FROM documents")
 def content_sha256(spark, d):
-    return table(spark, d, "documents").select(
+    return spread_small(table(spark, d, "documents")).select(
         "doc_id", H.content_sha256("text").alias("content_sha256"), F.lit(H.HASH_VERSION).cast("long").alias("hash_version")
     )
 
@@ -177,6 +177,6 @@ def float32_text(spark, d):
 
 @query(with_(CORPUS, "SELECT platform, count(DISTINCT content_sha256) AS contents FROM corpus GROUP BY platform"))
 def contents_per_platform(spark, d):
-    return corpus(spark, d).groupBy("platform").agg(F.count_distinct("content_sha256").alias("contents"))
+    return corpus(spark, d, spread=True).groupBy("platform").agg(F.count_distinct("content_sha256").alias("contents"))
 
 

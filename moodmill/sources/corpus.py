@@ -62,12 +62,14 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
     return docs.select(*REQUIRED, *OPTIONAL, "harvested_at", "dt")
 
 
-def read_tombstones(spark: SparkSession, root: str) -> DataFrame:
+def read_tombstones(spark: SparkSession, root: str, with_day: bool = False) -> DataFrame:
     """Revocations; none is an empty table."""
+    columns = [*TOMBSTONE.fieldNames(), *(["dt"] if with_day else [])]
     tombs = read_partitioned(spark, f"{root}/tombstones", TOMBSTONE)
     if tombs is None:
-        return local_table(spark, [], TOMBSTONE)
-    return tombs.select(*TOMBSTONE.fieldNames())
+        empty = local_table(spark, [], TOMBSTONE)
+        return empty.withColumn("dt", F.lit(None).cast("date")).select(*columns)
+    return tombs.select(*columns)
 
 
 def read_labels(spark: SparkSession, path: str, teacher_version: str, schema: T.StructType) -> DataFrame:

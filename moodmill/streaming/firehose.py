@@ -141,6 +141,18 @@ def observed(routed: DataFrame, name: str = "firehose") -> DataFrame:
     )
 
 
+def stream_counts(query: StreamingQuery, name: str = "firehose") -> dict[str, int]:
+    """Documents, tombstones and skipped posts over the recent micro-batches a
+    query keeps progress of."""
+    totals = dict.fromkeys(("documents", "tombstones", "skipped"), 0)
+    for progress in query.recentProgress:
+        row = progress.observedMetrics.get(name)
+        if row is not None:
+            for key in totals:
+                totals[key] += row[key]
+    return totals
+
+
 def start_corpus_stream(events: DataFrame, root: str, checkpoint: str, admit: FirehoseFilter = FirehoseFilter(),
                         name: str = "firehose", available_now: bool = False, interval: str = "30 seconds",
                         drop_replays: bool = True) -> StreamingQuery:
