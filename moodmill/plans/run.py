@@ -29,6 +29,7 @@ from moodmill.plans.evaluate import evaluate, split_docs, split_pairs
 from moodmill.plans.labeling import label_aspect_pairs, label_training_set
 from moodmill.plans.training import MAX_SEQUENCES, PrepConfig, build_training_set
 from moodmill.schemas import ASPECT_LABELS, LABELS
+from moodmill.session import checkpoint_dir
 from moodmill.sinks.corpus import read_json_report, write_json_report
 from moodmill.sources.corpus import read_labels
 
@@ -114,13 +115,15 @@ def run_training(spark: SparkSession, cfg: RunConfig, teacher: Backend, aspect_t
     )
 
     train = spark.read.parquet(cfg.train_path)
+    # Both are bounded by the caps above and read by every step below.
+    checkpoint_dir(spark)
     docs = L.train_label_join(
         train, read_labels(spark, docs_path, cfg.teacher_version, LABELS), cfg.teacher_version
-    )
+    ).checkpoint()
     pairs = L.train_aspect_join(
         train, read_labels(spark, pairs_path, cfg.aspect_teacher_version, ASPECT_LABELS),
         cfg.aspect_teacher_version,
-    )
+    ).checkpoint()
     doc_train, doc_held = split_docs(docs, floor=cfg.min_labeled)
     pair_train, pair_held = split_pairs(pairs)
     n_docs = doc_train.count()
