@@ -24,4 +24,5 @@ def test_entry_contract(spark):
 
     assert entry.entry(spark).count() == 20
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"distill_student", "run_full_training"}
+    assert set(all_queries()) <= set(entry.queries())
+    assert set(all_queries()) - set(entry.oracle_sql()) == {"distill_student", "run_full_training"}
