@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from moodmill.llm.common import table
 from moodmill.llm.packing import pack_documents
+from moodmill.llm.quality_rules import quality_rules, quality_sql
 from moodmill.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean_text")
+
+
+SQL["op2_quality_rules"] = quality_sql()
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
