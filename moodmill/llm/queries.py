@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from moodmill.llm.common import table
 from moodmill.llm.packing import pack_documents
+from moodmill.llm.pii import find_pii
 from moodmill.llm.quality_rules import quality_rules, quality_sql
 from moodmill.llm.token_counts import token_counts
 
@@ -33,6 +34,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op2_quality_rules"] = quality_sql()
 
 
+@query
+def op9_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents")).drop("found")
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
