@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from moodmill.llm.common import table
+from moodmill.llm.ngram_join import jaccard_components
 from moodmill.llm.packing import pack_documents
 from moodmill.llm.pii import find_pii
 from moodmill.llm.quality_rules import quality_rules, quality_sql
@@ -34,6 +35,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op2_quality_rules"] = quality_sql()
 
 
+@query
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents")).drop("found")
