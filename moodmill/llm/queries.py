@@ -11,6 +11,7 @@ from moodmill.llm.ngram_join import jaccard_components
 from moodmill.llm.packing import pack_documents
 from moodmill.llm.pii import find_pii
 from moodmill.llm.quality_rules import quality_rules, quality_sql
+from moodmill.llm.secret_scan import scan_secrets
 from moodmill.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op2_quality_rules"] = quality_sql()
 
 
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "redacted_text")
+
+
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
