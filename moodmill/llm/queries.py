@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from moodmill.llm.common import table
+from moodmill.llm.lm_scoring import lm_scores
 from moodmill.llm.ngram_join import jaccard_components
 from moodmill.llm.packing import pack_documents
 from moodmill.llm.pii import find_pii
@@ -37,6 +38,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op2_quality_rules"] = quality_sql()
 
 
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "redacted_text")
