@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from moodmill.llm.common import table
 from moodmill.llm.lm_scoring import lm_scores
@@ -15,6 +16,7 @@ from moodmill.llm.quality_rules import quality_rules, quality_sql
 from moodmill.llm.secret_scan import scan_secrets
 from moodmill.llm.token_counts import token_counts
 from moodmill.llm.toxicity import toxicity
+from moodmill.llm.vector_graph import nearest_neighbours
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,6 +45,11 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_vector_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "redacted_text")
