@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from moodmill.llm.common import table
 from moodmill.llm.lm_scoring import lm_scores
+from moodmill.llm.mixing import mixing_rates, quality_domains
 from moodmill.llm.ngram_join import jaccard_components
 from moodmill.llm.packing import pack_documents
 from moodmill.llm.pii import find_pii
@@ -22,6 +23,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+# Target shares of tokens by domain.
+MIXTURE = {"clean": 0.87, "junk": 0.04, "toxic": 0.09}
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
@@ -60,6 +65,15 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = mixing_rates(docs, quality_domains(table(spark, sf_dir, "labels")), MIXTURE)
+    return rated.select(
+        "doc_id", "n_tokens", *(F.col("domain_posteriors")[i].alias(f"p_{d}") for i, d in enumerate(MIXTURE)), "rate"
+    )
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
