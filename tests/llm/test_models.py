@@ -1,0 +1,273 @@
+"""Scoring, secrets, personal data, toxicity and mixing against brute force and planted cases."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from moodmill.llm.lm_scoring import Lattice, lm_scores, vocabulary
+from moodmill.llm.mixing import copies, fit_rates, mixing_rates, on_grid
+from moodmill.llm.pii import KINDS, estimate_reliabilities, find_pii
+from moodmill.llm.secret_scan import FEATURES, forest_share, scan_secrets, train_forest
+from moodmill.llm.toxicity import score_toxicity, toxicity, train_sentence_model
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def tiny_lattice():
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "c"] + [f"<{b:02X}>" for b in range(256)]
+    scores = np.log(np.full(len(pieces), 1 / len(pieces)))
+    scores[:7] += np.log([1, 2, 3, 1, 2, 4, 1])
+    return pieces, Lattice(pieces), scores
+
+
+def spellings(codes, table):
+    if not codes:
+        return [()]
+    return [(piece, *rest) for piece, chars in table if codes[: len(chars)] == chars for rest in spellings(codes[len(chars) :], table)]
+
+
+@pytest.mark.parametrize("word", ["a", "ab", "abab", "caba", "é", "aéb", "", "abcabcab"])
+def test_forward_sums_all_segmentations(word):
+    pieces, graph, scores = tiny_lattice()
+    table = [(i, [ord(c) for c in p] if i < 7 else [0x110000 + int(p[1:3], 16)]) for i, p in enumerate(pieces)]
+    ways = spellings(graph.codes(word), table)
+    total = sum(math.exp(sum(scores[i] for i in way)) for way in ways)
+    assert graph.log_probabilities(["x" * 3, word], scores)[1] == pytest.approx(math.log(total))
+    counts = Counter()
+    for way in ways:
+        for i in way:
+            counts[i] += math.exp(sum(scores[j] for j in way)) / total
+    got = graph.expected_counts([word], np.ones(1), scores)
+    assert {i: pytest.approx(v) for i, v in counts.items()} == {i: v for i, v in enumerate(got) if v}
+
+
+def test_lm_scores(spark):
+    rng = random.Random(3)
+    stems = ["the", "of", "walk", "talk", "ing", "er", "é"]
+    rows = [(i, " ".join("".join(rng.choices(stems, k=rng.randint(1, 3))) for _ in range(rng.randint(0, 40))).title()) for i in range(150)]
+    rows += [(500, None), (501, ""), (502, "a" * 3000), (7, rows[7][1]), (None, "null id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("c", F.lit("mine"))
+    got = lm_scores(df, rounds=2).collect()
+    words = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), None]) for i, t in rows]
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+    c = Counter(w for i, ws in words if not held(i) for w in ws)
+    n, v = sum(c.values()), len(c)
+    expected = Counter(
+        (i, held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for i, ws in words
+    )
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == expected
+    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    assert lm_scores(df.limit(0)).count() == 0
+
+
+def test_learned_words_score_above_strange_ones(spark):
+    rows = [(i, "walking and talking with walkers and talkers") for i in range(200)]
+    rows += [(1000, "walkers and talking"), (1001, "qzxv jjkw pqqz")]
+    got = {r.doc_id: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000].score > got[1001].score + 5
+
+
+def test_vocabulary_is_that_of_the_file():
+    pieces, start = vocabulary()
+    assert len(pieces) == len(set(pieces)) and len(pieces) > 10_000
+    assert math.isclose(np.exp(start).sum(), 1.0)
+
+
+SECRET = "9f2b61c07d5e4a83b1c2d3e4f5a697887766554a"
+
+
+def test_secrets_are_found_and_masked(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        words = [rng.choice(["some", "ordinary", "words", "incomprehensibilities", "uncharacteristically"]) for _ in range(30)]
+        if i % 4 == 0:
+            words.insert(10, f'token = "{"".join(rng.choices("0123456789abcdef", k=40))}"')
+        if i % 4 == 1:
+            words.insert(10, f'commit sha1 {"".join(rng.choices("0123456789abcdef", k=40))}')
+        rows.append((i, " ".join(words)))
+    rows += [(500, None), (501, ""), (502, f'password="{SECRET}" api_key: {SECRET}!'), (503, "x" * 60000), (0, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_secrets", F.lit("mine"))
+    got = scan_secrets(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id == 502:
+            assert r.n_secrets == 2 and SECRET not in r.redacted_text and r.redacted_text.startswith('password="[SECRET]"')
+        elif r.doc_id < 120 and r.doc_id % 4 == 0:
+            a, b = map(int, r.secret_spans.split(":"))
+            assert re.fullmatch("[0-9a-f]{40}", r.text[a:b]) and r.text[:a] + "[SECRET]" + r.text[b:] == r.redacted_text
+        else:
+            assert r.n_secrets == 0 and r.redacted_text == r.text
+    assert scan_secrets(df.limit(0)).count() == 0
+
+
+def test_forest_expression_votes_as_the_forest(spark):
+    rng = np.random.default_rng(0)
+    x = rng.random((300, len(FEATURES)))
+    rows = [(v.tolist(), float(v[0] + v[3] > 1)) for v in x]
+    df = spark.createDataFrame(rows, "features array<double>, label double")
+    trees = train_forest(df)
+    share = [r[0] for r in df.select(forest_share(trees, F.col("features"))).collect()]
+    right = np.mean([(s >= 0.5) == (y == 1) for s, (_, y) in zip(share, rows, strict=True)])
+    assert right > 0.9
+    assert train_forest(df.filter("label = 0")) is None
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+def brute_pii(t):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, t or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            ok = {
+                "email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")),
+                "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15,
+            }[kind]
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_personal_data(spark):
+    rng = random.Random(5)
+    parts = ["a@b.c", "@", "a", ".", "_", "1.2.3.4", "256.1.1.1", ".5.6.7.8", "+1 ", "+", "4111 1111 1111 1111", "4111", "1", "-", "(", ")", " ", "é",
+             "😀", "%", "x.y", "99999", "@h.com_", "\n", "007.1.2.3", "call ", "555-123-4567", "mail bob (at) example (dot) com"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(500)]
+    rows += [(900, None), (901, ""), (902, "a" * 20000), (903, "a@b" + ".c" * 5000), (904, "+1" + "(" * 5000), (5, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("base", F.lit(1))
+    got = find_pii(df).collect()
+    expected, seen = Counter(), Counter()
+    for i, t in rows:
+        found = brute_pii(t)
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+        expected[i, *(sum(k == kind for k, _, _ in found) for kind in KINDS), hashlib.sha256(text.encode()).hexdigest()] += 1
+    for r in got:
+        seen[r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256] += 1
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert [(KINDS.index(k), int(a)) for k, a, _ in spans] == sorted((KINDS.index(k), int(a)) for k, a, _ in spans)
+        assert len(spans) == r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_added
+    assert seen == expected
+    assert find_pii(df.limit(0)).count() == 0
+
+
+def test_written_out_addresses_join_and_failed_checks_do_not(spark):
+    rows = [(i, f"contact mail user{i}@site{i}.com please, server ip 10.0.{i}.7, card 4111111111111111") for i in range(200)]
+    rows += [(1000, "please mail bob (at) example (dot) com today"), (1001, "the number 4111111111111112 here"), (1002, "an ip 300.1.2.3 here")]
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000].n_added == 1 and got[1001].n_added == 0 and got[1002].n_added == 0
+
+
+def test_reliabilities_follow_the_votes():
+    model = estimate_reliabilities({(1, 1, 1, 0): 400, (-1, -1, -1, 0): 400, (1, -1, 1, 0): 100, (-1, 1, -1, 0): 100})
+    assert model.right[0] > model.right[1] and model.right[2] > model.right[1]
+    assert estimate_reliabilities({}).prior == 0.5
+
+
+def toxic_rows(n=400):
+    rng = random.Random(2)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(n):
+        sentences = [" ".join(rng.choices(words, k=8)).capitalize() + "." for _ in range(5)]
+        bad = i % 5 == 0
+        if bad:
+            sentences[2] = "You are a " + rng.choice(["grubworm", "nitwit", "grubworms"]) + " indeed."
+        rows.append((i, " ".join(sentences)))
+        labels.append((i, 1, int(bad)))
+    return rows, labels
+
+
+def test_toxicity_generalises_and_locates(spark):
+    rows, labels = toxic_rows()
+    rows += [(9000, None), (9001, ""), (9002, "plain " * 20000), (3, rows[3][1]), (None, "null id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("label", F.lit(1))
+    table = spark.createDataFrame([*labels, (None, 1, 1), (9001, None, None)], "doc_id long, quality int, toxic int")
+    got = toxicity(docs, table).collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for r in got:
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        bad = r.doc_id is not None and r.doc_id < 400 and r.doc_id % 5 == 0
+        assert r.predicted == bad, r
+        if bad:
+            assert "You are a" in texts[r.doc_id][r.worst_start : r.worst_end]
+    assert toxicity(docs.limit(0), table).count() == 0
+
+
+def test_held_out_labels_are_never_read(spark):
+    rows, labels = toxic_rows(150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    turned = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]
+    a, b = (sorted((r.doc_id, r.score) for r in toxicity(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int")).collect()) for x in (labels, turned))
+    assert a == b
+
+
+def test_one_class_of_labels(spark):
+    docs = spark.createDataFrame([(1, "one text"), (2, None)], "doc_id long, text string")
+    model = train_sentence_model(docs.withColumn("label", F.lit(0)))
+    assert all(r.score < 0.5 for r in score_toxicity(docs, model).collect())
+
+
+def test_rates_meet_feasible_targets(spark):
+    rng = np.random.default_rng(6)
+    p = on_grid(rng.dirichlet([2.0, 0.5, 0.5], 500))
+    tokens = rng.integers(1, 500, 500)
+    cells = spark.createDataFrame([(x.tolist(), int(t)) for x, t in zip(p, tokens, strict=True)], "p array<double>, tokens long")
+    now = tokens @ p
+    targets = now * np.array([1.2, 0.8, 0.9])
+    rates = fit_rates(cells, targets, max_rate=math.inf).rates(p)[0]
+    assert (rates >= 0).all()
+    assert np.abs((tokens * rates) @ p / targets - 1).max() < 0.02
+    capped = fit_rates(cells, targets, max_rate=1.0).rates(p)[0]
+    assert capped.max() <= 1.0
+
+
+def mixing_docs(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(300):
+        junk = i % 3 == 0
+        rows.append((i, " ".join(rng.choices(["zq&&", "xx##", "qq%%"] if junk else ["plain", "words", "here"], k=40))))
+        if i % 2:
+            labels.append((i, "junk" if junk else "clean"))
+    rows += [(900, None), (901, ""), (902, "words " * 30000), (4, rows[4][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rate", F.lit("mine"))
+    return docs, spark.createDataFrame([*labels, (None, "junk"), (1, "other")], "doc_id long, domain string")
+
+
+def test_mixing(spark):
+    docs, labelled = mixing_docs(spark)
+    got = mixing_rates(docs, labelled, {"clean": 0.9, "junk": 0.1}).collect()
+    assert len(got) == docs.count()
+    total = {d: sum(r.n_tokens * r.rate * r.domain_posteriors[i] for r in got) for i, d in enumerate(("clean", "junk"))}
+    assert total["clean"] / sum(total.values()) == pytest.approx(0.9, abs=0.02)
+    assert {r.n_tokens for r in got if not r.text} == {0}
+    assert mixing_rates(docs.limit(0), labelled, {"clean": 0.5, "junk": 0.5}).count() == 0
+    even = mixing_rates(docs, labelled.limit(0), {"clean": 0.5, "junk": 0.5}).collect()
+    assert all(r.domain_posteriors == [0.5, 0.5] for r in even)
+
+
+def test_copies_follow_rates(spark):
+    n = spark.range(20000).select(copies(F.col("id"), F.lit(1.3)).alias("n")).agg(F.avg("n"), F.min("n"), F.max("n")).first()
+    assert n[0] == pytest.approx(1.3, abs=0.02) and (n[1], n[2]) == (1, 2)
