@@ -5,10 +5,10 @@ taken in the order of their hashes, and only the first n - T + c of a document
 are listed: any partner then shares at least about c listed shingles with it.
 That leaves few documents at all (``viable``). The smallest document of a list
 is its hub, and the documents of all lists of one hub form its cell, so any two
-linked documents meet in a cell. Most are linked to a hub directly; within a
-cell, the documents that are not yet in its largest group search all others by
-DivideSkip: short inverted lists are merged and counted, the longest ones are
-only probed for the candidates left.
+linked documents meet in a cell. Within a cell, documents are first compared with
+the hub; those not yet in its main group search all others by DivideSkip: short
+inverted lists are merged and counted, the longest ones are only probed for the
+candidates left.
 """
 
 from __future__ import annotations
@@ -19,16 +19,16 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moodmill.llm.common import LOWER, bounded_batches, byte_steps, mix, span_hashes, stored, text_buffer, word_spans
+from moodmill.llm.common import LOWER, bounded_batches, byte_steps, gather, mix, span_hashes, stored, text_buffer, word_spans
 from moodmill.llm.graph import components
 
 WORDS = 5
 SIMILARITY_PCT = 75
 # Listed shingles beyond the least prefix, in hundredths of a set.
-EXTRA_PCT = 5
+EXTRA_PCT = 10
 # Shingles of the documents in one search task.
 BLOCK_SHINGLES = 2_000_000
 # Digests a task remembers so as to list equal sets once.
@@ -126,47 +126,37 @@ def keyed_rows(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame
     return rows.join(F.broadcast(ids) if few else ids, key, how)
 
 
-def _similar(shared: Column, n: Column, m: Column, pct: int) -> Column:
-    return shared * 100 >= (n + m - shared) * pct
-
-
-class _Groups:
-    """Union-find over the group labels met in one search task."""
-
-    def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (p := self.parent.get(x, x)) != x:
-            self.parent[x] = self.parent.get(p, p)
-            x = p
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.parent[max(a, b)] = min(a, b)
-        return a != b
-
-
 def divide_skip(
-    members: list[tuple[int, int, np.ndarray]], queries: list[tuple[int, int, np.ndarray]], pct: int
+    nodes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, pct: int, *, whole: bool
 ) -> list[tuple[int, int]]:
-    """Links from queries to members, (node, group, sorted shingles) each.
+    """Links that join the groups of all similar pairs of a query (``asks``) and a listed set.
 
-    Pairs whose groups are joined already, also by earlier links of this call,
-    are passed over, so equal groups never cost more than one link.
+    Without ``whole``, queries are no members. With it, every row is both, and
+    once one group holds most rows, its rows no longer ask: the others still ask
+    them. Pairs of one group are passed over, so a group costs one link a row.
     """
-    if not members or not queries:
+    groups, links = groups.copy(), []
+    listed_rows = np.arange(len(nodes)) if whole else np.flatnonzero(~asks)
+    queries = np.flatnonzero(asks)
+    if not len(listed_rows) or not len(queries):
         return []
-    sizes = np.array([len(s) for _, _, s in members])
-    tokens = np.concatenate([s for _, _, s in members])
-    owner = np.repeat(np.arange(len(members)), sizes)
+    sizes = np.array([len(x) for x in sets])
+    tokens = np.concatenate([sets[i] for i in listed_rows])
+    owner = np.repeat(listed_rows, sizes[listed_rows])
     order = np.lexsort((owner, tokens))
     tokens, owner = tokens[order], owner[order]
-    groups, links = _Groups(), []
-    probe = PROBE_WEIGHT * math.log2(max(2, len(members))) + 1
-    for node, group, mine in queries:
-        n = len(mine)
+    probe = PROBE_WEIGHT * math.log2(max(2, len(listed_rows))) + 1
+    main = None
+
+    def settle() -> int | None:
+        labels, counts = np.unique(groups, return_counts=True)
+        return labels[counts.argmax()] if whole and counts.max() * 2 > len(groups) else None
+
+    main = settle()
+    for q in queries.tolist():
+        if main is not None and groups[q] == main:
+            continue
+        mine, n = sets[q], int(sizes[q])
         need = least_overlap(n, pct)
         lo, hi = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
         held = hi > lo
@@ -176,98 +166,161 @@ def divide_skip(
         by_length = np.argsort(hi - lo, kind="stable")
         n_long = min(need - 1, int(need / probe))
         short, long = by_length[: len(by_length) - n_long], by_length[len(by_length) - n_long :]
-        merged, counts = np.unique(np.concatenate([owner[lo[i] : hi[i]] for i in short]), return_counts=True)
-        enough = counts >= need - n_long
-        fits = (sizes[merged] * pct <= n * 100) & (n * pct <= sizes[merged] * 100)
-        for member, count in zip(merged[enough & fits].tolist(), counts[enough & fits].tolist(), strict=True):
-            other, other_group, _ = members[member]
-            if other == node or groups.root(group) == groups.root(other_group):
-                continue
-            for i in long:
-                place = lo[i] + np.searchsorted(owner[lo[i] : hi[i]], member)
-                count += int(place < hi[i] and owner[place] == member)
-            if count * 100 >= (n + len(members[member][2]) - count) * pct:
-                groups.join(group, other_group)
-                links.append((node, other))
+        merged = owner[gather(lo[short], (hi - lo)[short])]
+        counts = np.bincount(merged, minlength=len(nodes))
+        fits = (sizes * pct <= n * 100) & (n * pct <= sizes * 100) & (groups != groups[q])
+        found = np.flatnonzero((counts >= need - n_long) & fits)
+        if not len(found):
+            continue
+        shared = counts[found]
+        for i in long.tolist():
+            mates = owner[lo[i] : hi[i]]
+            place = np.minimum(np.searchsorted(mates, found), len(mates) - 1)
+            shared = shared + (mates[place] == found)
+        similar = found[shared * 100 >= (n + sizes[found] - shared) * pct]
+        for other in similar.tolist():
+            if groups[other] != groups[q]:
+                links.append((int(nodes[q]), int(nodes[other])))
+                old, new = groups[other], groups[q]
+                if main is not None and old == main:
+                    old, new = new, old
+                groups[groups == old] = new
+        if main is None and len(similar):
+            main = settle()
     return links
 
 
-def _search(pct: int):
+def _with_hub(nodes: np.ndarray, sets: list[np.ndarray], hub: int, pct: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Group labels after comparing each set with the hub's, and the links found."""
+    groups, links = nodes.copy(), []
+    at = np.flatnonzero(nodes == hub)
+    if len(at):
+        mine = sets[at[0]]
+        for i, other in enumerate(sets):
+            if nodes[i] != hub:
+                place = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
+                shared = int((mine[place] == other).sum())
+                if shared * 100 >= (len(mine) + len(other) - shared) * pct:
+                    groups[i] = hub
+                    links.append((int(nodes[i]), hub))
+    return groups, links
+
+
+def _read_cell(batches: Iterator[pa.RecordBatch]):
+    nodes, labels, asks, hubs, sets = [], [], [], [], []
+    for batch in batches:
+        flat = batch.column("shingles")
+        values = flat.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        offsets = flat.offsets.to_numpy()
+        sets += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        for to, name in ((nodes, "node"), (labels, "part_of"), (asks, "asks"), (hubs, "hub")):
+            to.append(batch.column(name).to_numpy(zero_copy_only=False))
+    return np.concatenate(nodes), np.concatenate(labels), np.concatenate(asks), int(hubs[0][0]), sets
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _search_block(pct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members, queries = [], []
-        for batch in batches:
-            for node, group, shingles, asks in zip(
-                batch.column("node").to_pylist(), batch.column("part_of").to_pylist(), batch.column("shingles"),
-                batch.column("asks").to_pylist(), strict=True,
-            ):
-                row = (node, group, shingles.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                (queries if asks else members).append(row)
-        links = divide_skip(members, queries, pct)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"]
-        )
+        nodes, _, asks, hub, sets = _read_cell(batches)
+        groups, links = _with_hub(nodes, sets, hub, pct)
+        yield _pairs(links + divide_skip(nodes, groups, sets, np.ones(len(nodes), dtype=bool), pct, whole=True))
 
     return run
 
 
+def _search_across(pct: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, labels, asks, _, sets = _read_cell(batches)
+        yield _pairs(divide_skip(nodes, labels, sets, asks, pct, whole=False))
+
+    return run
+
+
+def _needed(n: Column, pct: int) -> Column:
+    """Listed shingles that a document of n shares with any partner at least.
+
+    The partner's own list may be the shorter one, but of no fewer than pct of
+    the shingles.
+    """
+    return F.greatest(F.lit(1), F.ceil(n * EXTRA_PCT * pct / 10000))
+
+
+def _shared(posts: DataFrame) -> DataFrame:
+    """Posts whose token occurs in several documents, with its smallest document as ``hub``."""
+    token = Window.partitionBy("token")
+    bounds = posts.withColumns({"hub": F.min("node").over(token), "top": F.max("node").over(token)})
+    return bounds.filter("hub < top").drop("top")
+
+
 def _cells(sets: DataFrame, pct: int) -> DataFrame:
-    """(node, n, hub, k): in which cells a viable document is, and by how many of its listed shingles."""
+    """(node, n, hub): in which cells each document has to be.
+
+    Two linked documents share at least ``_needed`` listed shingles. Each leaves
+    its smallest cells, as long as they hold less than half of that many of its
+    shingles; so both still meet in one.
+    """
     posts = sets.filter(F.size("prefix") > 0).select(
         F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("prefix").alias("token")
     )
-    twice = posts.groupBy("token").count().filter("count > 1").select("token")
-    hits = stored(posts.join(twice, "token"))
-    # A partner may have a shorter prefix, but no less than pct of the shingles.
-    needed = F.greatest(F.lit(1), F.ceil(F.col("n") * EXTRA_PCT * pct / 10000))
+    needed = _needed(F.col("n"), pct)
+    hits = stored(_shared(posts).drop("hub"))
     viable = hits.groupBy("node", "n").count().filter(F.col("count") >= needed).select("node")
-    left = stored(hits.join(viable, "node", "left_semi"))
-    hubs = left.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top")
-    cells = stored(left.join(hubs.select("token", "hub"), "token").groupBy("node", "n", "hub").agg(F.count("*").alias("k")))
-    still = cells.groupBy("node", "n").agg(F.sum("k").alias("k")).filter(F.col("k") >= needed).select("node")
-    return cells.join(still, "node", "left_semi")
-
-
-def _links(cells: DataFrame, full: DataFrame, pct: int) -> DataFrame:
-    """Links (a, b) that connect all similar documents, some through others."""
-    best = cells.filter("node <> hub").groupBy("node", "n").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("hub"))
-    mine = full.select("node", F.col("shingles").alias("x"))
-    theirs = full.select(F.col("node").alias("hub"), F.col("shingles").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    direct = stored(
-        best.join(mine, "node").join(theirs, "hub")
-        .filter(_similar(shared, F.size("x"), F.size("y"), pct))
-        .select("node", "hub").distinct()
+    cells = _shared(keyed_rows(hits, viable, "node", "left_semi").select("node", "n", "token")).groupBy("node", "n", "hub").agg(F.count(F.lit(1)).alias("k"))
+    mine = Window.partitionBy("node")
+    return (
+        cells.withColumns({"total": F.sum("k").over(mine), "left": F.sum("k").over(mine.orderBy("k", "hub"))})
+        .filter((F.col("total") >= needed) & (F.col("left") * 2 > needed - 1))
+        .select("node", "n", "hub", "k")
     )
 
-    # Group labels: the hub's hub's hub. Different labels may still be linked; equal ones are.
-    up = direct.groupBy("node").agg(F.min("hub").alias("part_of"))
-    label = up
-    for _ in range(2):
-        step = up.select(F.col("node").alias("part_of"), F.col("part_of").alias("higher"))
-        label = label.join(step, "part_of", "left").select("node", F.coalesce("higher", "part_of").alias("part_of"))
+
+def _links(rows: DataFrame, cells: DataFrame, words: int, pct: int) -> DataFrame:
+    """Links (a, b) that connect all similar documents, some through others.
+
+    A cell of more shingles than a task should hold is dealt to blocks; the hub is
+    in each. Then the documents of such cells that are not in their largest group
+    ask the other blocks.
+    """
+    sizes = cells.groupBy("hub").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    blocks = F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int")
     placed = stored(
-        cells.select("node", "n", "hub").join(label, "node", "left")
-        .select("node", "n", "hub", F.coalesce("part_of", "node").alias("part_of"))
+        cells.select("node", "hub").join(sizes.select("hub", blocks.alias("blocks")), "hub")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     )
-    open_cells = placed.groupBy("hub").agg(
-        F.min("part_of").alias("low"), F.max("part_of").alias("high"), F.sum("n").alias("shingles")
-    ).filter("low <> high")
-    largest = placed.groupBy("hub", "part_of").count().groupBy("hub").agg(
-        F.max_by("part_of", F.struct("count", "part_of")).alias("largest")
+    nodes = placed.select(F.col("node").alias("doc_id")).distinct()
+    full = (
+        keyed_rows(rows, nodes, "doc_id", "left_semi").select("doc_id", "text")
+        .mapInArrow(_full_sets(words), "node long, shingles array<long>").filter(F.size("shingles") > 0)
     )
-    blocks = F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int")
-    todo = placed.join(open_cells.select("hub", blocks.alias("blocks")), "hub").join(largest, "hub").withColumn(
-        "own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    hub_too = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    near = placed.select("node", "hub", F.explode(hub_too).alias("block"))
+    few = placed.count() <= BROADCAST_IDS
+    own = F.col("node").alias("part_of")
+    near = full.join(F.broadcast(near) if few else near, "node").select("node", own, "shingles", "hub", "block", F.lit(True).alias("asks"))
+    found = stored(near.groupBy("hub", "block").applyInArrow(_search_block(pct), "a long, b long"))
+    wide = placed.filter("blocks > 1")
+    if wide.isEmpty():
+        return found
+
+    label = components(found)
+    grouped = stored(
+        wide.join(label, "node", "left").select("node", "hub", "blocks", "block", F.coalesce("component_id", "node").alias("part_of"))
     )
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    as_member = todo.select("node", "part_of", "hub", F.col("own").alias("block"), every.alias("turn"), F.lit(False).alias("asks"))
-    as_query = todo.filter("part_of <> largest").select(
-        "node", "part_of", "hub", every.alias("block"), F.col("own").alias("turn"), F.lit(True).alias("asks")
+    largest = grouped.groupBy("hub", "part_of").count().groupBy("hub").agg(
+        F.max_by("part_of", F.struct("count", "part_of")).alias("largest")
     )
+    todo = grouped.join(largest, "hub")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    as_query = todo.filter("part_of <> largest").select("node", "part_of", "hub", every.alias("block"), F.col("block").alias("turn"), F.lit(True).alias("asks"))
+    as_member = todo.select("node", "part_of", "hub", "block", every.alias("turn"), F.lit(False).alias("asks"))
     asked = as_query.select("hub", "block", "turn").distinct()
-    rows = as_member.join(asked, ["hub", "block", "turn"], "left_semi").unionByName(as_query).join(full, "node")
-    found = rows.groupBy("hub", "block", "turn").applyInArrow(_search(pct), "a long, b long")
-    return direct.select(F.col("node").alias("a"), F.col("hub").alias("b")).union(found)
+    both = as_member.join(asked, ["hub", "block", "turn"], "left_semi").unionByName(as_query.filter("block <> turn"))
+    both = both.join(full, "node").select("node", "part_of", "shingles", "hub", "block", "turn", "asks")
+    return found.union(both.groupBy("hub", "block", "turn").applyInArrow(_search_across(pct), "a long, b long"))
 
 
 def jaccard_components(
@@ -291,10 +344,7 @@ def jaccard_components(
         rows.mapInArrow(_prefixes(pct, words), "doc_id long, n_shingles long, digest binary, prefix array<long>")
     )
     cells = stored(_cells(sets, pct))
-    nodes = cells.select(F.col("node").alias("doc_id")).distinct()
-    texts = keyed_rows(rows, nodes, "doc_id", "left_semi")
-    full = stored(texts.mapInArrow(_full_sets(words), "node long, shingles array<long>").filter(F.size("shingles") > 0))
-    links = stored(_links(cells, full, pct))
+    links = stored(_links(rows, cells, words, pct))
 
     classes = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"))
     keyed = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "digest").join(classes, "digest")
