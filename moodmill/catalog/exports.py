@@ -62,7 +62,6 @@ _TOPIC = [
     """
 found AS (
   SELECT * FROM platformed WHERE contains(lower(text), 'que')
-  QUALIFY row_number() OVER (PARTITION BY platform ORDER BY posted_at DESC, doc_id) <= 20
 )""",
     scored_sql("found"),
 ]
@@ -70,7 +69,7 @@ found AS (
 
 def topic_analysis(spark, d, aspects=("la", "the")):
     return analyze_topic(
-        by_real_platform(corpus(spark, d)), "que", platforms=platform_table(spark), limit=20,
+        by_real_platform(corpus(spark, d)), "que", platforms=platform_table(spark),
         aspects=aspects, backend=BACKEND, now=NOW,
     )
 

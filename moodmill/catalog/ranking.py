@@ -64,7 +64,7 @@ QUALIFY row_number() OVER (PARTITION BY platform ORDER BY posted_at DESC, doc_id
     )
 )
 def limit_per_platform(spark, d):
-    return R.limit_per_platform(by_real_platform(corpus(spark, d)), 60).select("platform", "doc_id")
+    return R.limit_per_platform(by_real_platform(corpus(spark, d)), 60, SOURCE_CAPS).select("platform", "doc_id")
 
 
 @query(

@@ -121,9 +121,15 @@ def purge_source(df: DataFrame, platform: str) -> DataFrame:
 
 def expire_text(df: DataFrame, now: dt.datetime | str, days: int = 180, at: str = "created_at") -> DataFrame:
     """Documents young enough for their text to be kept. Labels are separate
-    tables and are never expired."""
-    moment = F.col(at)
-    if dict(df.dtypes)[at] == "string":
-        moment = F.try_to_timestamp(moment)
+    tables and are never expired.
+
+    Where a document has no readable time of its own, the time it was harvested
+    counts, then its day; one without any of these is not kept.
+    """
+    kinds = dict(df.dtypes)
+    moments = [
+        F.try_to_timestamp(F.col(c)) if kinds[c] == "string" else F.col(c).cast("timestamp")
+        for c in (at, "harvested_at", "dt") if c in kinds
+    ]
     cutoff = now_literal(now) - F.make_dt_interval(days=F.lit(days))
-    return df.where(F.coalesce(moment >= cutoff, F.lit(True)))
+    return df.where(F.coalesce(F.coalesce(*moments) >= cutoff, F.lit(False)))

@@ -15,8 +15,8 @@ from moodmill.schemas import PROBS
 DOC_KEY = ("platform", "doc_id")
 PAIR_KEY = ("platform", "doc_id", "aspect")
 
-# Aspects kept per document, documents mined and pairs labelled.
-MAX_ASPECTS_PER_DOC, MINE_DOCS, MAX_PAIRS = 2, 400_000, 400_000
+# Fixed value: aspects kept per document, unless a caller asks for all.
+MAX_ASPECTS_PER_DOC = 2
 
 
 def unlabeled(rows: DataFrame, labels: DataFrame, teacher_version: str,
@@ -58,19 +58,25 @@ def train_aspect_join(train: DataFrame, labels: DataFrame, teacher_version: str)
     return train.select(*DOC_KEY, "text").join(soft, list(DOC_KEY))
 
 
-def all_mined_pairs(train: DataFrame, mine=mine_aspects, docs_cap: int = MINE_DOCS,
-                    per_doc: int = MAX_ASPECTS_PER_DOC) -> DataFrame:
-    """(document, aspect) pairs of a reproducible slice of the documents, cut
-    before mining. ``mine`` maps a text column to an array column."""
-    docs = hash_cap(train.select(*DOC_KEY, "text"), docs_cap, DOC_KEY)
-    kept = F.slice(F.array_distinct(mine(F.col("text"))), 1, per_doc)
+def all_mined_pairs(train: DataFrame, mine=mine_aspects, docs_cap: int | None = None,
+                    per_doc: int | None = MAX_ASPECTS_PER_DOC) -> DataFrame:
+    """(document, aspect) pairs of all documents, or of a reproducible slice of
+    them, cut before mining. ``mine`` maps a text column to an array column;
+    ``per_doc`` None keeps all its aspects."""
+    docs = train.select(*DOC_KEY, "text")
+    if docs_cap is not None:
+        docs = hash_cap(docs, docs_cap, DOC_KEY)
+    kept = F.array_distinct(mine(F.col("text")))
+    if per_doc is not None:
+        kept = F.slice(kept, 1, per_doc)
     return docs.select(*DOC_KEY, "text", F.explode(kept).alias("aspect"))
 
 
-def mined_pairs(train: DataFrame, mine=mine_aspects, docs_cap: int = MINE_DOCS,
-                max_pairs: int = MAX_PAIRS, per_doc: int = MAX_ASPECTS_PER_DOC) -> DataFrame:
-    """The capped pair set: both caps are part of the labelling budget."""
-    return hash_cap(all_mined_pairs(train, mine, docs_cap, per_doc), max_pairs, PAIR_KEY)
+def mined_pairs(train: DataFrame, mine=mine_aspects, docs_cap: int | None = None,
+                max_pairs: int | None = None, per_doc: int | None = MAX_ASPECTS_PER_DOC) -> DataFrame:
+    """The pair set; both caps are part of a labelling budget, if there is one."""
+    pairs = all_mined_pairs(train, mine, docs_cap, per_doc)
+    return pairs if max_pairs is None else hash_cap(pairs, max_pairs, PAIR_KEY)
 
 
 def align_student_teacher(student: DataFrame, teacher: DataFrame,

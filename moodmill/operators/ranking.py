@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 
 from moodmill.functions.hashing import UNIT_SEPARATOR, order_hash
 
-DEFAULT_LIMIT = 20
-
-# The most one search of each source returns. Sources not listed
-# have no cap of their own.
+# The most one live search of each source returns. They mean
+# nothing for landed documents and apply only where a caller passes them.
 SOURCE_CAPS = {
     "hackernews": 100, "bluesky": 100, "gdelt": 250, "reddit": 100, "twitter": 100,
     "mastodon": 40, "youtube": 50, "stocktwits": 30,
@@ -26,23 +24,30 @@ def newest_first(posted_at: str = "posted_at") -> list[Column]:
     return [F.col(posted_at).desc_nulls_last(), F.col("doc_id")]
 
 
-def limit_per_platform(df: DataFrame, limit: int = DEFAULT_LIMIT,
-                       caps: Mapping[str, int] = SOURCE_CAPS,
+def limit_per_platform(df: DataFrame, limit: int | None = None,
+                       caps: Mapping[str, int] | None = None,
                        order: Sequence[Column] | None = None) -> DataFrame:
     """The first rows of each platform, up to the request limit or the source's
-    own cap. Spark keeps at most that many rows per task before the shuffle."""
-    limit = limit if limit and limit > 0 else DEFAULT_LIMIT
+    own cap; all rows if neither is given. Spark keeps at most that many rows per
+    task before the shuffle."""
+    if limit is None and not caps:
+        return df
+    if limit is not None and limit <= 0:
+        raise ValueError(f"limit must be positive, not {limit}")
+    caps = caps or {}
     rank = F.row_number().over(
         Window.partitionBy("platform").orderBy(*(order or newest_first()))
     )
-    allowed = F.lit(limit)
+    allowed = F.lit(limit).cast("int")
     for platform, cap in caps.items():
-        if cap < limit:
+        if limit is None or cap < limit:
             allowed = F.when(F.col("platform") == platform, F.lit(cap)).otherwise(allowed)
     ranked = df.withColumn("_rank", rank)
     # The plain comparison lets the planner push a group limit below the
     # shuffle; the per-source caps then only trim what is left.
-    return ranked.where(F.col("_rank") <= limit).where(F.col("_rank") <= allowed).drop("_rank")
+    if limit is not None:
+        ranked = ranked.where(F.col("_rank") <= limit)
+    return ranked.where(allowed.isNull() | (F.col("_rank") <= allowed)).drop("_rank")
 
 
 def with_index(df: DataFrame, items: str, index: str = "index") -> DataFrame:

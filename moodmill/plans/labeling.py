@@ -63,12 +63,13 @@ def label_training_set(spark: SparkSession, train_path: str, labels_path: str, b
 
 
 def label_aspect_pairs(spark: SparkSession, train_path: str, labels_path: str, backend: Backend,
-                       teacher_version: str, mine=mine_aspects, docs_cap: int = L.MINE_DOCS,
-                       max_pairs: int = L.MAX_PAIRS, flushes: int = 1) -> dict[str, int]:
-    """Mine aspects from a fixed slice of the training set and label the pairs."""
+                       teacher_version: str, mine=mine_aspects, docs_cap: int | None = None,
+                       max_pairs: int | None = None, flushes: int = 1,
+                       per_doc: int | None = L.MAX_ASPECTS_PER_DOC) -> dict[str, int]:
+    """Mine aspects from the training set, or a fixed slice of it, and label the pairs."""
     train = spark.read.parquet(train_path).select("platform", "doc_id", "text")
     checkpoint_dir(spark)
     # Stored once, so that capping, counting and labelling do not mine again.
-    mined = L.all_mined_pairs(train, mine, docs_cap).checkpoint()
-    pairs = hash_cap(mined, max_pairs, L.PAIR_KEY)
+    mined = L.all_mined_pairs(train, mine, docs_cap, per_doc).checkpoint()
+    pairs = mined if max_pairs is None else hash_cap(mined, max_pairs, L.PAIR_KEY)
     return _label(pairs, labels_path, backend, teacher_version, ASPECT_LABELS, L.PAIR_KEY, flushes, "aspect")

@@ -27,15 +27,12 @@ from moodmill.plans.distill import (
 )
 from moodmill.plans.evaluate import evaluate, split_docs, split_pairs
 from moodmill.plans.labeling import label_aspect_pairs, label_training_set
-from moodmill.plans.training import MAX_SEQUENCES, PrepConfig, build_training_set
+from moodmill.plans.training import PrepConfig, build_training_set
 from moodmill.schemas import ASPECT_LABELS, LABELS
 from moodmill.session import checkpoint_dir
 from moodmill.sinks.corpus import read_json_report, write_json_report
 from moodmill.sources.corpus import read_labels
 
-# The most a caller may ask for.
-ASPECT_PAIRS_CEILING = 800_000
-
 
 @dataclass(frozen=True)
 class RunConfig:
@@ -44,9 +41,10 @@ class RunConfig:
     run_id: str
     teacher_version: str
     aspect_teacher_version: str
-    max_sequences: int = MAX_SEQUENCES
-    aspect_pairs: int = L.MAX_PAIRS
-    mine_docs: int = L.MINE_DOCS
+    # None: all rows, pairs and documents.
+    max_sequences: int | None = None
+    aspect_pairs: int | None = None
+    mine_docs: int | None = None
     min_labeled: int = MIN_LABELED_ROWS
     flushes: int = 1
     distill: DistillConfig = field(default_factory=lambda: DistillConfig(aspect_fraction=1 / 3))
@@ -76,20 +74,22 @@ def _stored_report(spark: SparkSession, path: str) -> dict[str, Any] | None:
 
 
 def _load_or_fit(path: str, fit) -> PipelineModel:
-    try:
+    spark = SparkSession.active()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    # Only a missing model is fitted again; one that cannot be read is an error.
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - a missing model surfaces as several JVM errors
-        model = fit()
-        model.write().overwrite().save(path)
-        return model
+    model = fit()
+    model.write().overwrite().save(path)
+    return model
 
 
 def assert_budgets(cfg: RunConfig) -> None:
-    """Refuse over-sized requests before anything is read."""
-    if not 0 < cfg.max_sequences <= MAX_SEQUENCES:
-        raise ValueError(f"max_sequences {cfg.max_sequences} outside (0, {MAX_SEQUENCES}]")
-    if not 0 < cfg.aspect_pairs <= ASPECT_PAIRS_CEILING:
-        raise ValueError(f"aspect_pairs {cfg.aspect_pairs} outside (0, {ASPECT_PAIRS_CEILING}]")
+    """Refuse budgets that keep nothing before anything is read."""
+    for name in ("max_sequences", "aspect_pairs", "mine_docs"):
+        value = getattr(cfg, name)
+        if value is not None and value <= 0:
+            raise ValueError(f"{name} must be positive, not {value}")
     aspect_budget(1, 1, cfg.distill.aspect_fraction)
 
 

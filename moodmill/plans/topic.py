@@ -14,7 +14,7 @@ from moodmill.operators import aggregate as A
 from moodmill.operators import filters as flt
 from moodmill.operators.dedupe import dedupe_by_id
 from moodmill.operators.platforms import missing_platforms, require_some_source, select_platforms
-from moodmill.operators.ranking import DEFAULT_LIMIT, limit_per_platform, newest_first
+from moodmill.operators.ranking import limit_per_platform, newest_first
 from moodmill.operators.scoring import DEFAULT_BACKEND, Backend, score_aspects, score_documents
 from moodmill.session import local_table
 
@@ -60,16 +60,16 @@ def matching_documents(docs: DataFrame, topic: str, *, location: str | None = No
     return flt.since(found, since_seconds, now or utc_now())
 
 
-def topic_documents(docs: DataFrame, topic: str, limit: int = DEFAULT_LIMIT,
+def topic_documents(docs: DataFrame, topic: str, limit: int | None = None,
                     order: Sequence[Column] | None = None, **search) -> DataFrame:
-    """Search, limit per platform, then keep the first row per document id."""
+    """Search, limit per platform if asked to, then keep the first row per document id."""
     order = order or newest_first()
     found = limit_per_platform(matching_documents(docs, topic, **search), limit, order=order)
     return dedupe_by_id(found, order)
 
 
 def analyze_topic(docs: DataFrame, topic: str, *, platforms: DataFrame, wanted: Sequence[str] = (),
-                  outcomes: DataFrame | None = None, limit: int = DEFAULT_LIMIT,
+                  outcomes: DataFrame | None = None, limit: int | None = None,
                   aspects: Sequence[str] = (), backend: Backend = DEFAULT_BACKEND,
                   now: dt.datetime | str | None = None, **search) -> TopicAnalysis:
     """Sentiment on a topic: select platforms, search, limit, dedupe, score and

@@ -20,7 +20,9 @@ from moodmill.sinks.corpus import write_partitioned
 
 POST_COLLECTION = "app.bsky.feed.post"
 PLATFORM = "bluesky"
-OVERLAP_SECONDS = 5
+# What makes an event itself: a reconnect sends it again with all of these equal.
+EVENT_KEY = ("route", "platform", "author_did", "doc_id", "operation", "time_us")
+ROUTES = {"documents": ("document",), "tombstones": ("doc_tombstone", "account_tombstone"), "skipped": ("skipped",)}
 
 
 @dataclass(frozen=True)
@@ -121,60 +123,74 @@ def tombstones(routed: DataFrame) -> DataFrame:
     ).select(*TOMBSTONE.fieldNames(), "dt")
 
 
-def dedupe_overlap(routed: DataFrame, overlap_seconds: int = OVERLAP_SECONDS) -> DataFrame:
-    """Drop events a reconnect replays. State lives only as long as the overlap;
-    later copies are removed when the training set is built."""
-    return routed.withWatermark("event_time", f"{overlap_seconds} seconds").dropDuplicatesWithinWatermark(
-        ["platform", "author_did", "doc_id", "operation", "time_us"]
+def unseen(rows: DataFrame, base: str, label: str, key: Sequence[str]) -> DataFrame:
+    """Rows that no other stored batch holds. Only the days of ``rows`` are read back."""
+    spark = rows.sparkSession
+    days = [r["dt"] for r in rows.select("dt").distinct().collect()]
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    if not days or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return rows
+    stored = (
+        spark.read.schema(rows.schema.add("batch", "string")).option("basePath", base).json(f"{base}/*")
+        .where(F.col("dt").isin(days) & (F.col("batch") != label))
     )
+    known = stored.select(*(F.coalesce(c, F.lit("")).alias(c) for c in key)).distinct()
+    same = [F.coalesce(rows[c], F.lit("")) == known[c] for c in key]
+    return rows.join(known, same, "left_anti")
 
 
 def route_counts(routed: DataFrame) -> DataFrame:
     return routed.groupBy("route").agg(F.count("*").alias("rows"))
 
 
-def observed(routed: DataFrame, name: str = "firehose") -> DataFrame:
-    """Counters a StreamingQueryListener sees after each batch."""
-    kinds = {"documents": ["document"], "tombstones": ["doc_tombstone", "account_tombstone"], "skipped": ["skipped"]}
-    return routed.observe(
-        name, *[F.count_if(F.col("route").isin(*v)).alias(k) for k, v in kinds.items()]
-    )
-
-
-def stream_counts(query: StreamingQuery, name: str = "firehose") -> dict[str, int]:
-    """Documents, tombstones and skipped posts over the recent micro-batches a
-    query keeps progress of."""
-    totals = dict.fromkeys(("documents", "tombstones", "skipped"), 0)
-    for progress in query.recentProgress:
-        row = progress.observedMetrics.get(name)
-        if row is not None:
-            for key in totals:
-                totals[key] += row[key]
-    return totals
+def stream_counts(spark: SparkSession, root: str) -> dict[str, int]:
+    """Documents, tombstones and skipped posts of all batches of a corpus: one
+    stored row per batch, so a long run is counted in full."""
+    counts = spark.read.schema("documents long, tombstones long, skipped long").json(f"{root}/stream_counts")
+    row = counts.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ROUTES)).first()
+    return row.asDict()
 
 
 def start_corpus_stream(events: DataFrame, root: str, checkpoint: str, admit: FirehoseFilter = FirehoseFilter(),
                         name: str = "firehose", available_now: bool = False, interval: str = "30 seconds",
                         drop_replays: bool = True) -> StreamingQuery:
-    """Write routed events to the corpus. The checkpoint is the resume position;
-    each micro-batch is one batch folder, replaced if the batch is replayed."""
-    routed = observed(route_events(events, admit), name)
-    if drop_replays:
-        routed = dedupe_overlap(routed)
-    wanted = routed.where(F.col("route").isin("document", "doc_tombstone", "account_tombstone"))
+    """Write routed events to the corpus, however late they come.
+
+    The checkpoint is the resume position. A micro-batch is a folder named after
+    the query's own id, which the checkpoint keeps: a replayed batch replaces
+    itself, and a stream with a new checkpoint never touches an older one's rows.
+    No event is dropped for its time. Copies of an event are dropped within a
+    batch and against what is stored for their days; any that two streams write
+    at once are removed when the training set is built.
+    """
+    routed = route_events(events, admit).where(F.col("route") != "ignored")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        spark = batch.sparkSession
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "manual"
+        label = f"{name}-{run}-{batch_id:08d}"
+        batch = (batch.dropDuplicates(list(EVENT_KEY)) if drop_replays else batch).persist()
         try:
-            label = f"{name}-{batch_id:08d}"
+            gone, docs = tombstones(batch), admitted_documents(batch)
+            if drop_replays:
+                gone = unseen(gone, f"{root}/tombstones", label, ("platform", "scope", "doc_id", "author_did", "deleted_at"))
+                docs = unseen(docs, f"{root}/documents", label, ("platform", "doc_id", "content_sha256", "harvested_at"))
+            gone, docs = gone.persist(), docs.persist()
             # Revocations first: a batch that fails between the two writes must
             # not have added documents whose deletion it already knew.
-            write_partitioned(tombstones(batch), f"{root}/tombstones", label)
-            write_partitioned(admitted_documents(batch), f"{root}/documents", label)
+            write_partitioned(gone, f"{root}/tombstones", label)
+            write_partitioned(docs, f"{root}/documents", label)
+            skipped = batch.where(F.col("route") == "skipped").count()
+            counts = spark.range(1).select(
+                F.lit(docs.count()).alias("documents"), F.lit(gone.count()).alias("tombstones"), F.lit(skipped).alias("skipped")
+            )
+            counts.write.mode("overwrite").json(f"{root}/stream_counts/batch={label}")
+            gone.unpersist()
+            docs.unpersist()
         finally:
             batch.unpersist()
 
-    writer = wanted.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(write)
+    writer = routed.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(write)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return writer.trigger(**trigger).start()
 

@@ -11,8 +11,9 @@ CFG = RunConfig("corpus", "out", "r", "t@v1", "a@v1")
 
 def test_budgets_are_refused_before_any_work():
     assert_budgets(CFG)
+    assert_budgets(replace(CFG, max_sequences=10**12, aspect_pairs=10**12))
     for bad in (
-        replace(CFG, max_sequences=0), replace(CFG, max_sequences=1_840_001), replace(CFG, aspect_pairs=800_001),
+        replace(CFG, max_sequences=0), replace(CFG, mine_docs=-1), replace(CFG, aspect_pairs=0),
         replace(CFG, distill=DistillConfig(aspect_fraction=0.6)),
     ):
         with pytest.raises(ValueError):

@@ -104,9 +104,13 @@ def test_newest_documents(spark):
     assert T.newest_documents(df, 1000).count() == 100
 
 
-def test_text_expires_but_unknown_ages_stay(spark):
-    df = spark.createDataFrame([("1", "2026-01-01T00:00:00Z"), ("2", "2026-08-01T00:00:00Z"), ("3", None)], "doc_id string, created_at string")
-    assert sorted(r[0] for r in flt.expire_text(df, "2026-08-31T00:00:00Z").collect()) == ["2", "3"]
+def test_text_expires_by_the_best_known_time(spark):
+    rows = [
+        ("old", "2026-01-01T00:00:00Z", "2026-08-01T00:00:00Z"), ("new", "2026-08-01T00:00:00Z", None), ("none", None, None),
+        ("blank, old", " ", "2026-01-01T00:00:00Z"), ("broken, new", "soon", "2026-08-01T00:00:00Z"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id string, created_at string, harvested_at string")
+    assert sorted(r[0] for r in flt.expire_text(df, "2026-08-31T00:00:00Z").collect()) == ["broken, new", "new"]
 
 
 def test_length_batches(spark):
