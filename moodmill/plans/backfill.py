@@ -34,9 +34,11 @@ def backfill_month(archive: DataFrame, root: str, month: str, *, low: int = 40,
 
     The month is one batch folder, so a full run replaces what a limited run
     left. A limited run is a trial: it takes the lowest ids and is recorded as
-    partial.
+    partial; over a month that is complete it is refused.
     """
     spark = archive.sparkSession
+    if limit and not done_months(spark, root).where((F.col("month") == month) & ~F.col("is_partial")).isEmpty():
+        raise ValueError(f"{month} is complete; a limited run would replace it")
     rows = archive_rows(archive)
     if limit:
         rows = rows.orderBy("id").limit(limit)
@@ -60,8 +62,8 @@ def ingest_months(spark: SparkSession, root: str, first: str, last: str | None,
     for month in [r["month"] for r in due.collect()]:
         try:
             kept = backfill_month(read_month(month), root, month, low=low, high=high, limit=limit)
-        except PySparkException as e:
-            log(f"{month}: failed: {e.getCondition() or e}")
+        except Exception as e:  # noqa: BLE001 - whatever a reader raises, the other months go on
+            log(f"{month}: failed: {e}")
             continue
         total += kept
         log(f"{month}: {kept} documents")
