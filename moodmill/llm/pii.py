@@ -244,7 +244,8 @@ def find_pii(
     Columns: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, n_added, spans,
     and found, the spans as structs. ``spans`` holds kind:start:end by kind as in
     ``KINDS`` and then by start, in code points with an exclusive end. A candidate
-    joins them if the classifier gives it at least ``threshold``. Null and empty
+    joins them if it fails no test of its kind and the classifier gives it at
+    least ``threshold``. Null and empty
     texts have no spans; repeated rows are read each for itself; an empty table
     gives no rows. One scan of the texts and no shuffle of them: candidates and
     spans are kept in each row and stored without the text.
@@ -266,7 +267,8 @@ def find_pii(
     )
     exploded = seen.select(F.explode(F.concat("base", "wide")).alias("c")).select("c.*")
     weights, intercept = train_span_classifier(exploded)
-    added = F.filter("wide", lambda c: _probability(c, weights, intercept) >= threshold)
+    # A failed check digit or octet outweighs any context.
+    added = F.filter("wide", lambda c: (c["pattern"] >= 0) & (_probability(c, weights, intercept) >= threshold))
     order = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
 
     def ordered(spans: Column) -> Column:
