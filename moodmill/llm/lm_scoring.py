@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodmill.llm.common import LOWER, bounded_batches, byte_steps, fold, stored, text_buffer, word_spans
+from moodmill.llm.common import LOWER, bounded_batches, byte_steps, fold, gather, span_hashes, stored, text_buffer, word_spans
 
 FOLDS = 10
 SMOOTHING = 0.1
@@ -28,7 +28,7 @@ MARK = "▁"  # starts the first piece of a word
 ROUNDS, PRIOR = 3, 0.01
 # Cells (words times length) of one vectorized step; longer words are steps of their own.
 STEP_CELLS = 1 << 18
-WORDS_SCHEMA = "doc_id long, part long, word string, n long"
+WORDS_SCHEMA = "part long, word string, n long, c long"
 
 
 def vocabulary(model: str = "piece_bpe_32k.model") -> tuple[list[str], np.ndarray]:
@@ -166,23 +166,28 @@ def lattice(model: str) -> tuple[Lattice, np.ndarray]:
 
 
 def _doc_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of each row and how often they occur."""
+    """The distinct words of each row, how often they occur, and how often they train.
+
+    Words of one row are told apart by 64-bit hashes.
+    """
     for batch in batches:
         data, offsets = text_buffer(batch.column(2))
+        part, trains = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         for lo, hi in byte_steps(offsets):
-            local = offsets[lo : hi + 1] - offsets[lo]
             raw = LOWER[data[offsets[lo] : offsets[hi]]]
-            starts, ends, rows = word_spans(raw, local)
-            whole = raw.tobytes()
-            counts: dict[tuple[int, bytes], int] = {}
-            for row, a, b in zip(rows.tolist(), starts.tolist(), ends.tolist(), strict=True):
-                key = (row, whole[a:b])
-                counts[key] = counts.get(key, 0) + 1
-            row = pa.array([lo + r for r, _ in counts], pa.int64())
-            words = pa.array([w for _, w in counts], pa.binary()).cast(pa.string())
+            starts, ends, rows = word_spans(raw, offsets[lo : hi + 1] - offsets[lo])
+            hashes = span_hashes(raw, starts, ends)
+            order = np.lexsort((hashes, rows))
+            h, r = hashes[order], rows[order]
+            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))) if len(h) else order
+            n = np.diff(np.append(first, len(h)))
+            at, row = order[first], lo + r[first]
+            lengths = ends[at] - starts[at]
+            bounds = np.append(0, np.cumsum(lengths)).astype(np.int32)
+            letters = raw[gather(starts[at], lengths)]
+            words = pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(letters))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), words, pa.array(list(counts.values()), pa.int64())],
-                ["doc_id", "part", "word", "n"],
+                [pa.array(part[row]), words, pa.array(n), pa.array(np.where(trains[row], n, 0))], ["part", "word", "n", "c"]
             )
 
 
@@ -234,8 +239,8 @@ def lm_scores(
     held = fold(F.col("doc_id"), FOLDS) == 0
     # A row per distinct word of a document; the end is the null word, which is no word of any text.
     heads = stored(rows.select("doc_id", "part", held.alias("held_out")))
-    words = rows.select("doc_id", "part", "text").mapInArrow(_doc_words, WORDS_SCHEMA)
-    counted = words.groupBy("word").agg(F.sum(F.when(held, 0).otherwise(F.col("n"))).alias("c"))
+    words = rows.select("part", ~held, "text").mapInArrow(_doc_words, WORDS_SCHEMA)
+    counted = words.groupBy("word").agg(F.sum("c").alias("c"))
     tails = heads.agg(F.sum((~F.col("held_out")).cast("long")).alias("c")).select(F.lit(None).cast("string").alias("word"), F.coalesce("c", F.lit(0)).alias("c"))
     known = stored(counted.union(tails))
     word = F.col("word").isNotNull()
@@ -266,7 +271,7 @@ def lm_scores(
         return F.log10((c + SMOOTHING) / F.lit(n + SMOOTHING * (v + 1)))
 
     by_word = known.filter(word).mapInArrow(score, "word string, c long, lattice double")
-    joined = words.join(by_word, "word")
+    joined = words.select("part", "word", "n").join(by_word, "word")
     sums = joined.groupBy("part").agg(
         F.sum("n").alias("words"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known_words"),
         F.sum(F.col("n") * base(F.col("c"))).alias("base"), F.sum(F.col("n") * F.col("lattice")).alias("lattice"),
