@@ -17,6 +17,9 @@ STEP_BYTES = 2 << 20
 # Spark cuts Arrow batches by rows; long texts would make such batches huge.
 ARROW_BYTES = 8 << 20
 
+# Narrow rows of which up to so many are sent to every task (about 16 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -47,6 +50,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed_rows(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Join rows, which may hold texts, with narrow rows by id; these are broadcast only after counting them."""
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, key, how)
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids fall into fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus), F.lit(0)).cast("int")

@@ -22,7 +22,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moodmill.llm.common import LOWER, bounded_batches, byte_steps, gather, mix, span_hashes, stored, text_buffer, word_spans
+from moodmill.llm.common import (
+    BROADCAST_IDS,
+    LOWER,
+    bounded_batches,
+    byte_steps,
+    gather,
+    keyed_rows,
+    mix,
+    span_hashes,
+    stored,
+    text_buffer,
+    word_spans,
+)
 from moodmill.llm.graph import components
 
 WORDS = 5
@@ -33,8 +45,6 @@ EXTRA_PCT = 10
 BLOCK_SHINGLES = 2_000_000
 # Digests a task remembers so as to list equal sets once.
 REMEMBERED = 1_000_000
-# Ids of which up to so many are sent to every task (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 # Weight of a probe against a step of a merge, as in the method's choice of the number of long lists.
 PROBE_WEIGHT = 0.1
 
@@ -120,12 +130,6 @@ def _full_sets(words: int):
     return run
 
 
-def keyed_rows(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """Semi or anti join with ids; broadcast only after counting them."""
-    few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, key, how)
-
-
 def divide_skip(
     nodes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, pct: int, *, whole: bool
 ) -> list[tuple[int, int]]:

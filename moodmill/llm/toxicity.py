@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodmill.llm.common import bounded_batches, fold
+from moodmill.llm.common import bounded_batches, fold, keyed_rows
 
 FOLDS = 5
 # Words the sentence model knows: those whose presence tells the classes best apart.
@@ -166,7 +166,7 @@ def fit_noisy_or(labels: np.ndarray, bags: list[list[list[int]]], size: int) ->
 
 
 def train_sentence_model(labelled: DataFrame, *, size: int = VOCABULARY, max_fit: int = MAX_FIT) -> SentenceModel:
-    """Fits on (text, label) rows; at most ``max_fit`` documents of each class, first in the order of a hash.
+    """Fits on (text, label) rows; at most ``max_fit`` texts of each class, first in the order of a hash.
 
     Words are chosen from all labelled rows; only the fit uses the sample. With
     one class missing every text scores alike, on that class's side.
@@ -178,8 +178,13 @@ def train_sentence_model(labelled: DataFrame, *, size: int = VOCABULARY, max_fit
         share = rows.agg(F.avg("label")).first()[0] or 0.0
         return SentenceModel({}, 4.0 if share == 1.0 else -4.0)
     keyed = rows.withColumn("place", F.xxhash64("text"))
-    sample = [keyed.filter(F.col("label") == y).orderBy("place").limit(max_fit).select("label", "text") for y in (0, 1)]
-    bags = sample[0].union(sample[1]).mapInArrow(_bags(vocabulary), "label int, bags array<array<int>>").toArrow()
+    # Only hashes are ordered; texts are then filtered by the last one of their class and stay where they are.
+    chosen = F.lit(False)
+    for y in (0, 1):
+        first = keyed.filter(F.col("label") == y).select("place").orderBy("place").limit(max_fit)
+        chosen = chosen | ((F.col("label") == y) & (F.col("place") <= F.lit(first.agg(F.max("place")).first()[0])))
+    sample = keyed.filter(chosen).select("label", "text")
+    bags = sample.mapInArrow(_bags(vocabulary), "label int, bags array<array<int>>").toArrow()
     labels = bags.column("label").to_numpy().astype(np.float64)
     weights, bias = fit_noisy_or(labels, bags.column("bags").to_pylist(), len(vocabulary))
     return SentenceModel({w: float(x) for w, x in zip(vocabulary, weights, strict=True) if abs(x) > 1e-3}, bias)
@@ -225,7 +230,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     mine = labels.select("doc_id", F.col("toxic").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = mine.groupBy("doc_id").agg(F.max("label").alias("label"))
-    model = train_sentence_model(docs.select("doc_id", "text").join(known, "doc_id"))
+    model = train_sentence_model(keyed_rows(docs.select("doc_id", "text"), known, "doc_id", "inner"))
     scored = score_toxicity(docs, model)
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
