@@ -243,6 +243,39 @@ def test_rates_meet_feasible_targets(spark):
     assert capped.max() <= 1.0
 
 
+@pytest.mark.parametrize("share", [0.05, 0.01, 0.001])
+def test_targets_of_small_domains_are_met(spark, share):
+    p = np.eye(3)
+    tokens = [round(1e6 * (1 - 2 * share)), round(1e6 * share), round(1e6 * share)]
+    cells = spark.createDataFrame([(x.tolist(), t) for x, t in zip(p, tokens, strict=True)], "p array<double>, tokens long")
+    rates = fit_rates(cells, np.array(tokens) * [1.0, 0.25, 0.25], max_rate=1.0).rates(p)[0]
+    assert rates == pytest.approx([1.0, 0.25, 0.25], rel=1e-3)
+
+
+@pytest.mark.parametrize("share", [0.01, 0.001])
+def test_small_soft_domains_and_targets_out_of_reach(spark, share):
+    rng = np.random.default_rng(6)
+    p = on_grid(rng.dirichlet([5 * (1 - 2 * share), 5 * share, 5 * share], 2000))
+    tokens = rng.integers(1, 500, 2000)
+    cells = spark.createDataFrame([(x.tolist(), int(t)) for x, t in zip(p, tokens, strict=True)], "p array<double>, tokens long")
+    targets = tokens @ p * [1.1, 0.6, 1.5]
+    rates = fit_rates(cells, targets, max_rate=math.inf).rates(p)[0]
+    assert np.abs((tokens * rates) @ p / targets - 1).max() < 1e-3
+    # Twice of what there is cannot be had at rates of one at most; the others still are.
+    targets = tokens @ p * [0.5, 0.5, 2.0]
+    capped = fit_rates(cells, targets, max_rate=1.0).rates(p)[0]
+    assert (capped >= 0).all() and capped.max() <= 1.0
+    # At the least of the squared relative misses, no rate can move downhill within its bounds.
+    slope = p @ (((tokens * capped) @ p / targets - 1) / targets * tokens.sum())
+    assert np.abs(capped - np.clip(capped - 1e-2 * slope, 0.0, 1.0)).max() < 1e-3
+
+
+def test_rounding_to_the_grid_is_to_the_nearest():
+    p = np.random.default_rng(1).dirichlet([5, 0.02, 0.02], 1000)
+    q = on_grid(p)
+    assert np.abs(q - p).max() < 1e-4 and (q.sum(1) == 1).all()
+
+
 def mixing_docs(spark):
     rng = random.Random(8)
     rows, labels = [], []
