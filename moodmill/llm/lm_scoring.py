@@ -28,7 +28,8 @@ MARK = "▁"  # starts the first piece of a word
 ROUNDS, PRIOR = 3, 0.01
 # Cells (words times length) of one vectorized step; longer words are steps of their own.
 STEP_CELLS = 1 << 18
-WORDS_SCHEMA = "part long, word string, n long, c long"
+WORDS_SCHEMA = "part long, doc_id long, held_out boolean, word string, n long"
+WORD_COLUMNS = ["part", "doc_id", "held_out", "word", "n"]
 
 
 def vocabulary(model: str = "piece_bpe_32k.model") -> tuple[list[str], np.ndarray]:
@@ -166,13 +167,12 @@ def lattice(model: str) -> tuple[Lattice, np.ndarray]:
 
 
 def _doc_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of each row, how often they occur, and how often they train.
+    """The distinct words of each row, how often they occur, and its end: a null word, which is no word of any text.
 
     Words of one row are told apart by 64-bit hashes.
     """
     for batch in batches:
-        data, offsets = text_buffer(batch.column(2))
-        part, trains = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        data, offsets = text_buffer(batch.column(3))
         for lo, hi in byte_steps(offsets):
             raw = LOWER[data[offsets[lo] : offsets[hi]]]
             starts, ends, rows = word_spans(raw, offsets[lo : hi + 1] - offsets[lo])
@@ -186,9 +186,12 @@ def _doc_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = np.append(0, np.cumsum(lengths)).astype(np.int32)
             letters = raw[gather(starts[at], lengths)]
             words = pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(letters))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[row]), words, pa.array(n), pa.array(np.where(trains[row], n, 0))], ["part", "word", "n", "c"]
-            )
+            whose = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(whose) for i in range(3)), words, pa.array(n)], WORD_COLUMNS)
+        some = batch.num_rows
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:3], pa.nulls(some, pa.string()), pa.array(np.ones(some, dtype=np.int64))], WORD_COLUMNS
+        )
 
 
 def fit_pieces(words: DataFrame, model: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -232,17 +235,16 @@ def lm_scores(
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    key = F.col(id_col).cast("long")
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
-        F.monotonically_increasing_id().alias("part"),
+        F.monotonically_increasing_id().alias("part"), key.alias("doc_id"), (fold(key, FOLDS) == 0).alias("held_out"),
+        F.col(text_col).alias("text"),
     )
-    held = fold(F.col("doc_id"), FOLDS) == 0
-    # A row per distinct word of a document; the end is the null word, which is no word of any text.
-    heads = stored(rows.select("doc_id", "part", held.alias("held_out")))
-    words = rows.select("part", ~held, "text").mapInArrow(_doc_words, WORDS_SCHEMA)
-    counted = words.groupBy("word").agg(F.sum("c").alias("c"))
-    tails = heads.agg(F.sum((~F.col("held_out")).cast("long")).alias("c")).select(F.lit(None).cast("string").alias("word"), F.coalesce("c", F.lit(0)).alias("c"))
-    known = stored(counted.union(tails))
+    # The row's number is made in one job only and read from there: another job may split the files otherwise.
+    words = stored(rows.mapInArrow(_doc_words, WORDS_SCHEMA))
+    heads = words.filter("word IS NULL").select("part", "doc_id", "held_out")
+    counted = words.groupBy("word").agg(F.sum(F.when(F.col("held_out"), 0).otherwise(F.col("n"))).alias("c"))
+    known = stored(counted)
     word = F.col("word").isNotNull()
     totals = known.agg(
         F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.when(word & (F.col("c") > 0), 1)).alias("types"),
@@ -271,7 +273,7 @@ def lm_scores(
         return F.log10((c + SMOOTHING) / F.lit(n + SMOOTHING * (v + 1)))
 
     by_word = known.filter(word).mapInArrow(score, "word string, c long, lattice double")
-    joined = words.select("part", "word", "n").join(by_word, "word")
+    joined = words.filter(word).select("part", "word", "n").join(by_word, "word")
     sums = joined.groupBy("part").agg(
         F.sum("n").alias("words"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known_words"),
         F.sum(F.col("n") * base(F.col("c"))).alias("base"), F.sum(F.col("n") * F.col("lattice")).alias("lattice"),

@@ -17,6 +17,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from moodmill.llm.common import LOWER, bounded_batches, byte_steps, stored, text_buffer, word_spans
 
@@ -114,22 +115,30 @@ def train_domains(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...]
     return DomainModel(domains, weights, bias)
 
 
-def document_posteriors(rows: DataFrame, model: DomainModel) -> DataFrame:
-    """(part, n_tokens, p) of rows (part, text): their words and domain posteriors."""
+def _judged(batch: pa.RecordBatch, place: int, model: DomainModel) -> tuple[np.ndarray, np.ndarray]:
+    """Words and domain posteriors of the texts in a column of a batch."""
+    data, offsets = text_buffer(batch.column(place))
+    tokens, p = [np.zeros(0, dtype=np.int64)], [np.zeros((0, len(model.domains)))]
+    for lo, hi in byte_steps(offsets):
+        raw, local = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        p.append(model.posteriors(byte_features(raw, local)))
+        tokens.append(np.bincount(word_spans(raw, local)[2], minlength=hi - lo).astype(np.int64))
+    return np.concatenate(tokens), np.concatenate(p)
+
+
+def _lists(p: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))
+
+
+def document_posteriors(texts: DataFrame, model: DomainModel) -> DataFrame:
+    """(n_tokens, p) of rows (text): their words and domain posteriors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            for lo, hi in byte_steps(offsets):
-                raw, local = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                p = model.posteriors(byte_features(raw, local))
-                tokens = np.bincount(word_spans(raw, local)[2], minlength=hi - lo)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(tokens.astype(np.int64)), lists], ["part", "n_tokens", "p"]
-                )
+            tokens, p = _judged(batch, 0, model)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), _lists(p)], ["n_tokens", "p"])
 
-    return rows.mapInArrow(run, "part long, n_tokens long, p array<double>")
+    return texts.mapInArrow(run, "n_tokens long, p array<double>")
 
 
 @dataclass(frozen=True)
@@ -236,8 +245,7 @@ def mixing_rates(
     domains = tuple(weights)
     k = len(domains)
     model = train_domains(docs, labelled, domains)
-    rows = docs.withColumn("_m_part", F.monotonically_increasing_id())
-    seen = stored(document_posteriors(rows.select("_m_part", "text"), model))
+    seen = document_posteriors(docs.select("text"), model)
     cells = stored(seen.groupBy("p").agg(F.sum("n_tokens").alias("tokens")))
     now = cells.select(*(F.coalesce(F.sum(F.col("tokens") * F.col("p")[i]), F.lit(0.0)).alias(f"d{i}") for i in range(k))).first()
     present = np.array([float(x) for x in now])
@@ -248,13 +256,17 @@ def mixing_rates(
         targets = wanted / max(wanted.sum(), 1e-12) * (present.sum() if total is None else total)
     rule = fit_rates(cells, targets, max_rate=max_rate)
 
+    place = docs.columns.index("text")
+    added = "n_tokens long, domain_posteriors array<double>, rate double"
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(added).fields])
+
+    # Rates follow from texts alone, so that rows need not be found again after the fit.
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = _matrix(batch.column(2), k)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule.rates(p)[0])], ["_m_part", "n_tokens", "domain_posteriors", "rate"])
+            tokens, p = _judged(batch, place, model)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens), _lists(p), pa.array(rule.rates(p)[0])], schema.names)
 
-    rated = seen.mapInArrow(rate, "_m_part long, n_tokens long, domain_posteriors array<double>, rate double")
-    return rows.join(rated, "_m_part").drop("_m_part")
+    return docs.mapInArrow(rate, schema)
 
 
 def copies(doc_id: Column, rate: Column) -> Column:

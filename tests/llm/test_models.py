@@ -304,3 +304,34 @@ def test_mixing(spark):
 def test_copies_follow_rates(spark):
     n = spark.range(20000).select(copies(F.col("id"), F.lit(1.3)).alias("n")).agg(F.avg("n"), F.min("n"), F.max("n")).first()
     assert n[0] == pytest.approx(1.3, abs=0.02) and (n[1], n[2]) == (1, 2)
+
+
+@pytest.fixture
+def resplit(spark, tmp_path):
+    """Writes rows to files, and reads them in one part while a query is set up, in a part for each file later."""
+    one_part = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+
+    def run(df, make):
+        df.repartition(6).write.parquet(f"{tmp_path}/rows")
+        for key, v in one_part.items():
+            spark.conf.set(key, v)
+        try:
+            made = make(spark.read.parquet(f"{tmp_path}/rows"))
+        finally:
+            for key in one_part:
+                spark.conf.unset(key)
+        return made.collect()
+
+    return run
+
+
+def test_words_stay_with_their_rows_when_files_are_split_otherwise(spark, resplit):
+    df = spark.createDataFrame([(i, "word " * i) for i in range(60)], "doc_id long, text string")
+    assert {(r.doc_id, r.n_tokens) for r in resplit(df, lambda d: lm_scores(d, rounds=1))} == {(i, i + 1) for i in range(60)}
+
+
+def test_rates_stay_with_their_rows_when_files_are_split_otherwise(spark, resplit):
+    df = spark.createDataFrame([(i, "word " * i) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, domain string")
+    got = resplit(df, lambda d: mixing_rates(d, labels, {"a": 0.5, "b": 0.5}))
+    assert {(r.doc_id, r.n_tokens) for r in got} == {(i, i) for i in range(60)}
