@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from moodmill.llm.lm_scoring import Lattice, lm_scores, vocabulary
 from moodmill.llm.mixing import copies, fit_rates, mixing_rates, on_grid
 from moodmill.llm.pii import KINDS, estimate_reliabilities, find_pii
-from moodmill.llm.secret_scan import FEATURES, forest_share, scan_secrets, train_forest
+from moodmill.llm.secret_scan import FEATURES, candidates, forest_share, scan_secrets, train_forest
 from moodmill.llm.toxicity import score_toxicity, toxicity, train_sentence_model
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -108,6 +108,20 @@ def test_secrets_are_found_and_masked(spark):
     assert scan_secrets(df.limit(0)).count() == 0
 
 
+def test_long_values_and_longer_names_are_candidates_as_a_whole(spark):
+    rng = random.Random(4)
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    values = [f"token={hexes(300)}", f"token: {hexes(90)}.{hexes(400)}.{hexes(43)}", *(f"{name}={hexes(32)}" for name in (
+        "SECRET_KEY", "AWS_SECRET_KEY", "PRIVATE_KEY", "access_key_id", "secretKey", "secret_" + "x" * 90, "some_id"))]
+    texts = spark.createDataFrame([(i, f"set {v} here") for i, v in enumerate(values)], "i long, text string")
+    for r in texts.withColumn("found", candidates(F.col("text"))).collect():
+        found = [r.text[c.start : c.end] for c in r.found if not c.match.startswith("secret_")]
+        assert found == [re.split("[=:] ?", values[r.i])[1]]
+    plain = [(100 + i, f"commit sha1 {hexes(40)} of uncharacteristically and token = {hexes(40)}") for i in range(60)]
+    rows = scan_secrets(texts.unionByName(spark.createDataFrame(plain, "i long, text string"))).filter("i < 6").collect()
+    assert all(r.redacted_text.endswith("[SECRET] here") for r in rows)
+
+
 def test_forest_expression_votes_as_the_forest(spark):
     rng = np.random.default_rng(0)
     x = rng.random((300, len(FEATURES)))
