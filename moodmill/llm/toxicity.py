@@ -131,7 +131,7 @@ def _bags(vocabulary: list[str]):
                 found = [sorted(index[f] for f in lookup.of(m.group())) for m in SENTENCE.finditer(low)]
                 bags.append([x for x in found if x])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array(bags, pa.list_(pa.list_(pa.int32())))], ["label", "bags"]
+                [batch.column("label"), batch.column("place"), pa.array(bags, pa.list_(pa.list_(pa.int32())))], ["label", "place", "bags"]
             )
 
     return run
@@ -166,25 +166,29 @@ def fit_noisy_or(labels: np.ndarray, bags: list[list[list[int]]], size: int) ->
 
 
 def train_sentence_model(labelled: DataFrame, *, size: int = VOCABULARY, max_fit: int = MAX_FIT) -> SentenceModel:
-    """Fits on (text, label) rows; at most ``max_fit`` texts of each class, first in the order of a hash.
+    """Fits on (text, label) rows; at most ``max_fit`` rows of each class, first in the order of a hash.
 
-    Words are chosen from all labelled rows; only the fit uses the sample. With
-    one class missing every text scores alike, on that class's side.
+    The hash is that of doc_id, where there is one, and text, so copies of a text
+    have the share of the sample that they have of the rows; a row that repeats
+    another's id and text is in the sample once. Words are chosen from all
+    labelled rows; only the fit uses the sample. With one class missing every
+    text scores alike, on that class's side.
     """
     bounded_batches(labelled.sparkSession)
-    rows = labelled.filter("label IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
+    text = F.coalesce("text", F.lit(""))
+    place = F.xxhash64(*(["doc_id"] if "doc_id" in labelled.columns else []), text)
+    rows = labelled.filter("label IS NOT NULL").select(text.alias("text"), F.col("label").cast("int").alias("label"), place.alias("place"))
     vocabulary = telling_words(rows, size)
     if not vocabulary:
         share = rows.agg(F.avg("label")).first()[0] or 0.0
         return SentenceModel({}, 4.0 if share == 1.0 else -4.0)
-    keyed = rows.withColumn("place", F.xxhash64("text"))
     # Only hashes are ordered; texts are then filtered by the last one of their class and stay where they are.
     chosen = F.lit(False)
     for y in (0, 1):
-        first = keyed.filter(F.col("label") == y).select("place").orderBy("place").limit(max_fit)
+        first = rows.filter(F.col("label") == y).select("place").distinct().orderBy("place").limit(max_fit)
         chosen = chosen | ((F.col("label") == y) & (F.col("place") <= F.lit(first.agg(F.max("place")).first()[0])))
-    sample = keyed.filter(chosen).select("label", "text")
-    bags = sample.mapInArrow(_bags(vocabulary), "label int, bags array<array<int>>").toArrow()
+    found = rows.filter(chosen).mapInArrow(_bags(vocabulary), "label int, place long, bags array<array<int>>")
+    bags = found.groupBy("label", "place").agg(F.min("bags").alias("bags")).toArrow()
     labels = bags.column("label").to_numpy().astype(np.float64)
     weights, bias = fit_noisy_or(labels, bags.column("bags").to_pylist(), len(vocabulary))
     return SentenceModel({w: float(x) for w, x in zip(vocabulary, weights, strict=True) if abs(x) > 1e-3}, bias)

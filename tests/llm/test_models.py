@@ -237,6 +237,35 @@ def test_held_out_labels_are_never_read(spark):
     assert a == b
 
 
+def test_copies_do_not_break_the_bound_of_the_sample(spark, monkeypatch):
+    import moodmill.llm.toxicity as module
+
+    # The copies' text comes first in the order of hashes of texts alone.
+    rows, labels = toxic_rows(400)
+    first = spark.createDataFrame([(t,) for i, t in rows if i % 5], "t string").orderBy(F.xxhash64("t")).first().t
+    rows += [(1000 + i, first) for i in range(600)] + [(1, rows[1][1])] * 50
+    kinds = dict((i, t) for i, _, t in labels)
+    df = spark.createDataFrame([(i, t, kinds.get(i, 0)) for i, t in rows], "doc_id long, text string, label int")
+    seen = []
+    fit = module.fit_noisy_or
+    monkeypatch.setattr(module, "fit_noisy_or", lambda y, bags, n: (seen.append((y, bags)), fit(y, bags, n))[1])
+    train_sentence_model(df, max_fit=100)
+    y, bags = seen[0]
+    assert (y == 0).sum() == 100 and (y == 1).sum() == 80
+    assert len({str(b) for b, label in zip(bags, y, strict=True) if not label}) > 20
+
+
+def test_copies_do_not_fill_the_sample_of_findings(spark):
+    rng = np.random.default_rng(0)
+    x = rng.random((300, len(FEATURES)))
+    rows = [(v.tolist(), float(v[0] + v[3] > 1)) for v in x]
+    df = spark.createDataFrame(rows, "features array<double>, label double")
+    first = [df.filter(F.col("label") == y).orderBy(F.xxhash64("features")).first() for y in (0.0, 1.0)]
+    trees = train_forest(df.unionByName(spark.createDataFrame(first * 500, df.schema)), 200)
+    share = [r[0] for r in df.select(forest_share(trees, F.col("features"))).collect()]
+    assert np.mean([(s >= 0.5) == (y == 1) for s, (_, y) in zip(share, rows, strict=True)]) > 0.9
+
+
 def test_one_class_of_labels(spark):
     docs = spark.createDataFrame([(1, "one text"), (2, None)], "doc_id long, text string")
     model = train_sentence_model(docs.withColumn("label", F.lit(0)))
