@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodmill.operators.countries import COUNTRIES
 from moodmill.session import local_table
 
 # Fixed values: (id, display name, durable, backfillable, why it is not durable).
@@ -96,47 +97,8 @@ def require_some_source(requested: DataFrame, warnings: DataFrame) -> list:
     return rows
 
 
-# Countries as (FIPS 10-4 code, ISO alpha-2 code, names...). A
-# starter set; pass a fuller table where more countries are needed.
-COUNTRIES = (
-    ("AR", "ar", "argentina"),
-    ("AS", "au", "australia"),
-    ("AU", "at", "austria"),
-    ("BE", "be", "belgium"),
-    ("BR", "br", "brazil"),
-    ("CA", "ca", "canada"),
-    ("CH", "cn", "china"),
-    ("DA", "dk", "denmark"),
-    ("EG", "eg", "egypt"),
-    ("FI", "fi", "finland"),
-    ("FR", "fr", "france"),
-    ("GA", "gm", "gambia"),
-    ("GM", "de", "germany"),
-    ("IN", "in", "india"),
-    ("EI", "ie", "ireland"),
-    ("IS", "il", "israel"),
-    ("IT", "it", "italy"),
-    ("IV", "ci", "côte d'ivoire", "ivory coast"),
-    ("JA", "jp", "japan"),
-    ("KS", "kr", "south korea"),
-    ("MX", "mx", "mexico"),
-    ("NL", "nl", "netherlands"),
-    ("NO", "no", "norway"),
-    ("PL", "pl", "poland"),
-    ("PO", "pt", "portugal"),
-    ("SF", "za", "south africa"),
-    ("SP", "es", "spain"),
-    ("SW", "se", "sweden"),
-    ("SZ", "ch", "switzerland"),
-    ("TU", "tr", "turkey"),
-    ("UK", "gb", "uk", "united kingdom", "great britain"),
-    ("US", "us", "usa", "united states", "united states of america"),
-    ("VM", "vn", "viet nam", "vietnam"),
-)
-
-
 def country_table(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(key, fips): from a ``key,fips`` CSV, or the starter set."""
+    """(key, fips): from a ``key,fips`` CSV, or the fixed table of all 531 keys."""
     if path:
         return spark.read.schema("key string, fips string").option("header", True).csv(path)
     rows = [(key, fips) for fips, *keys in COUNTRIES for key in keys]

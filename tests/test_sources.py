@@ -205,3 +205,16 @@ def test_platform_selection(spark):
         plat.select_platforms(table, ["reddit"])
     durable = {r["platform"] for r in table.where("durable").collect()}
     assert durable == {"bluesky", "gdelt", "hackernews", "rss"}
+
+
+def test_every_country_is_known(spark):
+    from moodmill.operators.countries import COUNTRIES
+
+    known = {key: fips for fips, *keys in COUNTRIES for key in keys}
+    assert len(known) == sum(len(keys) for _, *keys in COUNTRIES) == 531
+    typed = [*known, *(f" {key.upper()} " for key in known if key.isascii()), "atlantis", "austin", ""]
+    df = spark.createDataFrame([(x,) for x in typed], "location string")
+    got = {r["location"]: r["fips"] for r in plat.country_lookup(df, plat.country_table(spark)).collect()}
+    assert got == {x: known.get(x.strip().lower()) for x in typed}
+    some = {"Nigeria": "NI", "Indonesia": "ID", "Ukraine": "UP", "ng": "NI", "zw": "ZI", "gm": "GA", "Zambia": "ZA"}
+    assert {x: known[x.lower()] for x in some} == some
