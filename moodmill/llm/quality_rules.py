@@ -18,6 +18,14 @@ BOILERPLATE = (
     "terms of use", "terms of service", "cookie", "javascript", "subscribe to our", "sign in", "log in",
     "click here", "read more", "share this", "skip to content", "back to top", "lorem ipsum",
 )
+# They count between word boundaries, with or without a plural.
+PHRASE = "(?<![\\p{L}\\p{N}_])(?:%s)s?(?![\\p{L}\\p{N}_])"
+# Single words that texts use as well: alone in their line, or beside a word of notices about them.
+COMMON = ("cookie", "javascript")
+NOTICE = (
+    "accept|allow|browser|consent|disabled?|enabled?|policy|preferences|privacy|require[ds]?|settings|site|supported|"
+    "turned? (?:on|off)|(?:uses?|using|our|these|third-party) cookies?|website"
+)
 
 
 @dataclass(frozen=True)
@@ -41,9 +49,16 @@ def _line_fails(line: Column, words: Column, rules: LineRules) -> Column:
     n = F.size(words)
     separators = _count(line, SEPARATORS)
     low = F.lower(line)
-    phrase = F.lit(False)
+    near, common = F.lit(False), F.lit(False)
     for text in BOILERPLATE:
-        phrase = phrase | F.contains(low, F.lit(text))
+        near = near | F.contains(low, F.lit(text))
+    for text in COMMON:
+        common = common | F.contains(low, F.lit(text))
+    # The cheap test first: few lines hold a phrase at whatever place.
+    phrase = near & (
+        low.rlike(PHRASE % "|".join(x for x in BOILERPLATE if x not in COMMON))
+        | (common & low.rlike(PHRASE % "|".join(COMMON)) & ((n == 1) | low.rlike(PHRASE % NOTICE)))
+    )
     return (n > 0) & (
         (_count(line, MARKS) >= n * F.lit(rules.marks_per_word))
         | ((separators >= rules.separators) & (separators * rules.words_per_separator >= n))

@@ -168,3 +168,23 @@ def test_packing_closes_gaps_exactly(spark):
     packed = pack_pieces(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), 10)
     assert packed.select("sequence_id").distinct().count() == 5
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_boilerplate_counts_between_word_boundaries_only(spark):
+    clean = [
+        "The catalog includes all of the works that she wrote in her last years.",
+        "We stepped from the dialog into a long and quiet talk about old friends.",
+        "Their design includes a garden, and they assign interns to look after it daily.",
+        "Bake each cookie for ten minutes until golden and let them cool on a rack.",
+        "He taught javascript to children at the village school for many happy years there.",
+    ]
+    notices = [
+        "Please sign in or log in before you read any more of this long page today.",
+        "We use cookies so that you get the best of our pages every time you come.",
+        "Please enable JavaScript in your browser to see all of the pages on here today.",
+        "Cookies", "Copyright 2020, all rights reserved.", "Back to top",
+    ]
+    rows = [*((i, x) for i, x in enumerate(clean)), *((100 + i, x) for i, x in enumerate(notices))]
+    for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.n_failed_lines == int(r.doc_id >= 100), r.text
+        assert r.kept == (r.doc_id < 100)
