@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from moodmill.functions.hashing import UNIT_SEPARATOR, order_hash
+from moodmill.session import local_table
 
 # 16**5 prefixes: a bound on the histogram, whatever the input holds. The
 # prefix holding the n-th row has about a millionth of the input.
@@ -108,41 +109,70 @@ def seeded_budget(df: DataFrame, n: int, seed: int, keys: Sequence[str] = PLATFO
     return hash_cap(df.withColumn("_seed", F.lit(str(seed))), n, ("_seed", *keys)).drop("_seed")
 
 
-# Strata are classes, languages and the like: a few rows on the driver.
-MAX_STRATA = 10_000
+# Cuts of up to so many strata become a local table, which the planner broadcasts by its size; more are joined as they are.
+LOCAL_STRATA = 10_000
 
 
-def stratified_reservoir(df: DataFrame, n: int, stratum: str, keys: Sequence[str] = PLATFORM_DOC,
-                         separator: str = UNIT_SEPARATOR) -> DataFrame:
-    """``n`` rows split evenly over the strata, first in hash order within each.
+def reservoir_level(sizes: DataFrame, n: int) -> tuple[int, int]:
+    """(level, extra): each stratum gives up to ``level`` rows and ``extra`` of the larger ones give one more.
 
-    The same cut as ``hash_cap``, found for all strata at once, so a stratum
-    with most of the rows is never gathered anywhere.
+    ``sizes`` has one total per stratum. Together they give ``n`` rows, or all there are.
     """
-    keyed = df.select(F.col(stratum).alias("s"), _ordered_key(keys, (), separator).alias("k")).withColumn(
-        "prefix", F.substring("k.h", 1, PREFIX_DIGITS)
+    # One task, but over at most one row per distinct size.
+    by_size = Window.orderBy("total").rowsBetween(Window.unboundedPreceding, -1)
+    steps = (
+        sizes.groupBy("total").agg(F.count("*").alias("strata"))
+        .withColumn("below", F.coalesce(F.sum(F.col("total") * F.col("strata")).over(by_size), F.lit(0)))
+        .withColumn("passed", F.coalesce(F.sum("strata").over(by_size), F.lit(0)))
+        .crossJoin(sizes.agg(F.count("*").alias("all")))
+        .withColumn("open", F.col("all") - F.col("passed"))
     )
+    # The first size at which the reservoir would be full.
+    full = steps.where(F.col("below") + F.col("total") * F.col("open") >= n).orderBy("total").first()
+    if full is None:
+        return max((steps.agg(F.max("total")).first()[0] or 0), 0), 0
+    return divmod(n - full["below"], full["open"])
+
+
+def stratified_reservoir(df: DataFrame, n: int, stratum: str, keys: Sequence[str] = PLATFORM_DOC,
+                         separator: str = UNIT_SEPARATOR, *, fill: bool = False) -> DataFrame:
+    """``n`` rows spread evenly over the strata, first in hash order within each.
+
+    With ``fill``, what a short stratum leaves goes to the others and a remainder
+    to those first in the order of a hash of their name, so ``n`` rows come
+    back while there are as many. Without, each stratum gives ``n // strata``
+    rows (one at least) or all it has. A null stratum is one like
+    others. The same cut as ``hash_cap``, found for all strata at once, so a
+    stratum with most of the rows is never gathered anywhere.
+    """
+    if n <= 0:
+        return df.limit(0)
+    key = _ordered_key(keys, (), separator)
+    # Strata as text beside a mark for null, so that equal joins take them all.
+    name = F.struct(F.col(stratum).isNull().alias("no"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("of"))
+    keyed = df.select(name.alias("s"), key.alias("k")).withColumn("prefix", F.substring("k.h", 1, PREFIX_DIGITS))
     counts = keyed.groupBy("s", "prefix").agg(F.count("*").alias("rows"))
+    sizes = counts.groupBy("s").agg(F.sum("rows").alias("total"))
+    level, extra = reservoir_level(sizes, n) if fill else (max(n // max(sizes.count(), 1), 1), 0)
+    quotas = sizes.withColumn("quota", F.least(F.col("total"), F.lit(level)))
+    if extra:
+        larger = sizes.where(F.col("total") > level).orderBy(F.md5(F.to_json("s")), "s").limit(extra).select("s", F.lit(1).alias("more"))
+        quotas = sizes.join(larger, "s", "left").withColumn(
+            "quota", F.least(F.col("total"), F.lit(level) + F.coalesce("more", F.lit(0)))
+        )
+    quotas = quotas.where("quota > 0")
     running = counts.withColumn("upto", F.sum("rows").over(Window.partitionBy("s").orderBy("prefix")))
-    sizes = counts.groupBy("s").agg(F.sum("rows").alias("total")).limit(MAX_STRATA + 1).collect()
-    if len(sizes) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata in {stratum}")
-    share = max(n // max(len(sizes), 1), 1)
-    crowded = [r["s"] for r in sizes if r["total"] > share]
-    if not crowded:
-        return df
     at = (
-        running.where(F.col("upto") >= share).groupBy("s")
-        .agg(F.min(F.struct("prefix", "upto", "rows")).alias("at"))
-        .select("s", "at.prefix", (F.lit(share) - (F.col("at.upto") - F.col("at.rows"))).alias("inside"))
+        running.join(quotas, "s").where(F.col("upto") >= F.col("quota")).groupBy("s")
+        .agg(F.min(F.struct("prefix", "upto", "rows", "quota")).alias("at"))
+        .select("s", "at.prefix", (F.col("at.quota") - (F.col("at.upto") - F.col("at.rows"))).alias("inside"))
     )
     # Only keys of one prefix per stratum are ranked.
     rank = F.row_number().over(Window.partitionBy("s").orderBy("k"))
     edge = keyed.join(at, ["s", "prefix"]).withColumn("_rank", rank).where(F.col("_rank") <= F.col("inside"))
-    cuts = edge.groupBy("s").agg(F.max("k").alias("k")).collect()
-    key = _ordered_key(keys, (), separator)
-    keep = ~F.coalesce(F.col(stratum).isin(*crowded), F.lit(False))
-    for cut in cuts:
-        literal = F.struct(F.lit(cut["k"]["h"]), *[F.lit(cut["k"][c]) for c in keys])
-        keep = keep | ((F.col(stratum) == F.lit(cut["s"])) & (key <= literal))
-    return df.where(keep)
+    cuts = edge.groupBy("s").agg(F.max("k").alias("_cut")).select(F.col("s").alias("_stratum"), "_cut")
+    few = [tuple(r.asDict(recursive=True).values()) for r in cuts.limit(LOCAL_STRATA + 1).collect()]
+    if len(few) <= LOCAL_STRATA:
+        cuts = local_table(df.sparkSession, few, cuts.schema)
+    named = df.withColumn("_stratum", name)
+    return named.join(cuts, "_stratum").where(key <= F.col("_cut")).select(*[named[c] for c in df.columns])
