@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodmill.llm.common import table
+from moodmill.llm.conversation import conversation_repair
+from moodmill.llm.divergence import divergence_sql, source_divergence
 from moodmill.llm.lm_scoring import lm_scores
 from moodmill.llm.mixing import mixing_rates, quality_domains
 from moodmill.llm.ngram_join import jaccard_components
@@ -15,6 +17,7 @@ from moodmill.llm.packing import pack_documents
 from moodmill.llm.pii import find_pii
 from moodmill.llm.quality_rules import quality_rules, quality_sql
 from moodmill.llm.secret_scan import scan_secrets
+from moodmill.llm.simhash import simhash_components
 from moodmill.llm.token_counts import token_counts
 from moodmill.llm.toxicity import toxicity
 from moodmill.llm.vector_graph import nearest_neighbours
@@ -87,3 +90,21 @@ def op9_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_source_divergence"] = divergence_sql()
