@@ -197,8 +197,7 @@ def source_divergence(docs: DataFrame, *, min_docs: int = MIN_DOCS, top_terms: i
     # The language is a number from here on; equal words of two languages are told apart by it.
     numbers = stored(bitsets.select(F.xxhash64("lang").alias("lang"), "word", "group", "n", "p", "p0", "bits"))
     joint = (
-        numbers.withColumn("run", F.shiftright("word", 6)).repartition("lang", "run").drop("run")
-        .sortWithinPartitions("lang", "word", "group", "n")
+        numbers.repartition("lang", "word").sortWithinPartitions("lang", "word", "group", "n")
         .mapInArrow(_pair_sums, "left long, right long, value long")
     )
 
