@@ -63,7 +63,8 @@ def ingest_months(spark: SparkSession, root: str, first: str, last: str | None,
         try:
             kept = backfill_month(read_month(month), root, month, low=low, high=high, limit=limit)
         except Exception as e:  # noqa: BLE001 - whatever a reader raises, the other months go on
-            log(f"{month}: failed: {e}")
+            reason = e.getCondition() if isinstance(e, PySparkException) else None
+            log(f"{month}: failed: {reason or type(e).__name__}")
             continue
         total += kept
         log(f"{month}: {kept} documents")

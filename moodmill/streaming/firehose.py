@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from moodmill.files import create_once, exists, read_text
 from moodmill.functions.hashing import HASH_VERSION, content_sha256, in_sample
 from moodmill.functions.text import strip_space
 from moodmill.functions.times import rfc3339
@@ -16,12 +19,18 @@ from moodmill.operators.filters import allows_langs, within_bytes
 from moodmill.operators.scoring import DEFAULT_BACKEND, Backend, score_documents
 from moodmill.operators.trend import daily_moments
 from moodmill.schemas import CORPUS, EVENT, TOMBSTONE
+from moodmill.session import local_table
 from moodmill.sinks.corpus import write_partitioned
+from moodmill.sinks.metrics import observed_write
+from moodmill.sources.corpus import read_partitioned
 
 POST_COLLECTION = "app.bsky.feed.post"
 PLATFORM = "bluesky"
 # What makes an event itself: a reconnect sends it again with all of these equal.
 EVENT_KEY = ("route", "platform", "author_did", "doc_id", "operation", "time_us")
+# How long after its arrival an event is known again.
+REPLAY_WINDOW = "3 days"
+COUNTS = "documents long, tombstones long, skipped long, newest_us long"
 ROUTES = {"documents": ("document",), "tombstones": ("doc_tombstone", "account_tombstone"), "skipped": ("skipped",)}
 
 
@@ -123,70 +132,102 @@ def tombstones(routed: DataFrame) -> DataFrame:
     ).select(*TOMBSTONE.fieldNames(), "dt")
 
 
+def drop_replayed(routed: DataFrame, window: str = REPLAY_WINDOW) -> DataFrame:
+    """One of each event that arrives within the window, whatever its own time.
+
+    The watermark is on the time of arrival, which only grows: no event is ever
+    late, and the state of a key ends that long after it first arrived, so state is
+    as large as the window's traffic and never grows with the corpus. A deletion
+    is another event than the post it deletes, and always passes.
+    """
+    arrived = routed.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", window)
+    return arrived.dropDuplicatesWithinWatermark(list(EVENT_KEY)).drop("_arrived")
+
+
 def unseen(rows: DataFrame, base: str, label: str, key: Sequence[str]) -> DataFrame:
     """Rows that no other stored batch holds. Only the days of ``rows`` are read back."""
-    spark = rows.sparkSession
     days = [r["dt"] for r in rows.select("dt").distinct().collect()]
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    if not days or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    schema = T.StructType([f for f in rows.schema if f.name != "dt"])
+    stored = read_partitioned(rows.sparkSession, base, schema, with_file=True) if days else None
+    if stored is None:
         return rows
-    stored = (
-        spark.read.schema(rows.schema.add("batch", "string")).option("basePath", base).json(f"{base}/*")
-        .where(F.col("dt").isin(days) & (F.col("batch") != label))
-    )
+    stored = stored.where(F.col("dt").isin(days) & ~F.col("file").startswith(f"batch={label}/"))
     known = stored.select(*(F.coalesce(c, F.lit("")).alias(c) for c in key)).distinct()
     same = [F.coalesce(rows[c], F.lit("")) == known[c] for c in key]
     return rows.join(known, same, "left_anti")
 
 
+def resume_mark(spark: SparkSession, root: str, checkpoint: str) -> int:
+    """Event time (microseconds) up to which earlier streams may have stored an event that arrives again.
+
+    Found once for a checkpoint, from the counts kept per batch, and kept beside
+    it; -1 for the first stream of a corpus. State knows what this checkpoint's
+    stream has seen; only events up to the mark are looked up in the corpus.
+    """
+    kept = f"{checkpoint.rstrip('/')}/corpus_mark.json"
+    if not exists(spark, kept):
+        newest = None
+        if exists(spark, f"{root}/stream_counts"):
+            newest = spark.read.schema(COUNTS).json(f"{root}/stream_counts").agg(F.max("newest_us")).first()[0]
+        create_once(spark, kept, json.dumps({"newest_us": -1 if newest is None else newest}))
+    return json.loads(read_text(spark, kept))["newest_us"]
+
+
 def route_counts(routed: DataFrame) -> DataFrame:
     return routed.groupBy("route").agg(F.count("*").alias("rows"))
 
 
+def route_metrics() -> list[Column]:
+    """Events of each route, as metrics of a running query (``observedMetrics`` of its progress)."""
+    return [F.count_if(F.col("route").isin(*names)).alias(k) for k, names in ROUTES.items()]
+
+
 def stream_counts(spark: SparkSession, root: str) -> dict[str, int]:
     """Documents, tombstones and skipped posts of all batches of a corpus: one
     stored row per batch, so a long run is counted in full."""
-    counts = spark.read.schema("documents long, tombstones long, skipped long").json(f"{root}/stream_counts")
+    counts = spark.read.schema(COUNTS).json(f"{root}/stream_counts")
     row = counts.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ROUTES)).first()
     return row.asDict()
 
 
 def start_corpus_stream(events: DataFrame, root: str, checkpoint: str, admit: FirehoseFilter = FirehoseFilter(),
                         name: str = "firehose", available_now: bool = False, interval: str = "30 seconds",
-                        drop_replays: bool = True) -> StreamingQuery:
+                        drop_replays: bool = True, replay_window: str = REPLAY_WINDOW) -> StreamingQuery:
     """Write routed events to the corpus, however late they come.
 
     The checkpoint is the resume position. A micro-batch is a folder named after
     the query's own id, which the checkpoint keeps: a replayed batch replaces
     itself, and a stream with a new checkpoint never touches an older one's rows.
-    No event is dropped for its time. Copies of an event are dropped within a
-    batch and against what is stored for their days; any that two streams write
-    at once are removed when the training set is built.
+    No event is dropped for its time. Copies of an event are dropped by keyed state
+    for ``replay_window`` after its arrival; the corpus is read back only for
+    events that a stream with another checkpoint may have stored. Any that two
+    streams write at once are removed when the training set is built.
     """
-    routed = route_events(events, admit).where(F.col("route") != "ignored")
+    spark = events.sparkSession
+    routed = route_events(events, admit).where(F.col("route") != "ignored").observe("routed", *route_metrics())
+    mark = -1
+    if drop_replays:
+        mark = resume_mark(spark, root, checkpoint)
+        routed = drop_replayed(routed, replay_window)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "manual"
         label = f"{name}-{run}-{batch_id:08d}"
-        batch = (batch.dropDuplicates(list(EVENT_KEY)) if drop_replays else batch).persist()
+        batch = batch.persist()
         try:
             gone, docs = tombstones(batch), admitted_documents(batch)
-            if drop_replays:
+            if mark >= 0 and not batch.where(F.col("time_us") <= mark).isEmpty():
                 gone = unseen(gone, f"{root}/tombstones", label, ("platform", "scope", "doc_id", "author_did", "deleted_at"))
                 docs = unseen(docs, f"{root}/documents", label, ("platform", "doc_id", "content_sha256", "harvested_at"))
-            gone, docs = gone.persist(), docs.persist()
             # Revocations first: a batch that fails between the two writes must
             # not have added documents whose deletion it already knew.
-            write_partitioned(gone, f"{root}/tombstones", label)
-            write_partitioned(docs, f"{root}/documents", label)
-            skipped = batch.where(F.col("route") == "skipped").count()
-            counts = spark.range(1).select(
-                F.lit(docs.count()).alias("documents"), F.lit(gone.count()).alias("tombstones"), F.lit(skipped).alias("skipped")
-            )
+            rows = F.count(F.lit(1)).alias("rows")
+            n_gone = observed_write(gone, lambda d: write_partitioned(d, f"{root}/tombstones", label), rows)["rows"]
+            n_docs = observed_write(docs, lambda d: write_partitioned(d, f"{root}/documents", label), rows)["rows"]
+            other = batch.agg(F.count_if(F.col("route") == "skipped").alias("skipped"), F.max("time_us").alias("newest_us")).first()
+            counts = local_table(spark, [(n_docs, n_gone, other["skipped"], other["newest_us"])], COUNTS)
             counts.write.mode("overwrite").json(f"{root}/stream_counts/batch={label}")
-            gone.unpersist()
-            docs.unpersist()
         finally:
             batch.unpersist()
 
