@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -24,6 +25,8 @@ SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+LOWER_BYTES = LOWER.tobytes()
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -77,6 +80,16 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def text_pieces(text: bytes, limit: int = STEP_BYTES // 2) -> Iterator[bytes]:
+    """A text in pieces of about ``limit`` bytes that no word crosses."""
+    at = 0
+    while at < len(text):
+        cut = SPACE.search(text, at + limit) if at + limit < len(text) else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 def byte_steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges holding about ``limit`` bytes each; a longer text is a range of its own."""
     rows, lo = len(offsets) - 1, 0

@@ -7,11 +7,17 @@ all its segmentations by a forward recursion in log space. A word met in trainin
 is also a segment of its own: its discounted share of the training tokens joins
 the sum, and the discounts are what the lattice of pieces weighs. A text is its
 words and an end, and its probability their product.
+
+Words are counted once over all texts, within the tasks first. The commonest are then
+scored where the texts are read, and only the others are shuffled to their scores, so
+no word of very many rows is a key of any join.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +25,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodmill.llm.common import LOWER, bounded_batches, byte_steps, fold, gather, span_hashes, stored, text_buffer, word_spans
+from moodmill.llm.common import (
+    LOWER,
+    LOWER_BYTES,
+    bounded_batches,
+    byte_steps,
+    fold,
+    gather,
+    span_hashes,
+    stored,
+    text_buffer,
+    text_pieces,
+    word_spans,
+)
 
 FOLDS = 10
 SMOOTHING = 0.1
@@ -28,8 +46,16 @@ MARK = "▁"  # starts the first piece of a word
 ROUNDS, PRIOR = 3, 0.01
 # Cells (words times length) of one vectorized step; longer words are steps of their own.
 STEP_CELLS = 1 << 18
-WORDS_SCHEMA = "part long, doc_id long, held_out boolean, word string, n long"
-WORD_COLUMNS = ["part", "doc_id", "held_out", "word", "n"]
+# Distinct words a task holds before it hands its counts on, and the commonest words that every task is given.
+HELD_WORDS, COMMON_WORDS = 400_000, 1 << 16
+# A row with a null word is the text's own: its tokens and what its common words add up to.
+SUMS = ("words", "known_words", "base", "mixed", "spelled")
+WORDS_SCHEMA = (
+    "part long, doc_id long, held_out boolean, word string, n long, "
+    "words long, known_words long, base double, mixed double, spelled double"
+)
+NAMES = [f.split()[0] for f in WORDS_SCHEMA.split(", ")]
+SCORED = "word string, c long, base double, mixed double, spelled double"
 
 
 def vocabulary(model: str = "piece_bpe_32k.model") -> tuple[list[str], np.ndarray]:
@@ -166,32 +192,93 @@ def lattice(model: str) -> tuple[Lattice, np.ndarray]:
     return _LATTICES[model]
 
 
-def _doc_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of each row, how often they occur, and its end: a null word, which is no word of any text.
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, c) of (held_out, text): how often each word occurs in training, 0 if in held-out texts only; null is the end."""
+    trained: Counter = Counter()
+    others: set[bytes] = set()
+    ends = 0
+
+    def handed() -> pa.RecordBatch:
+        only = [w for w in others if w not in trained]
+        words = pa.array([*trained, *only, None], pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([words, pa.array([*trained.values(), *([0] * len(only)), ends], pa.int64())], ["word", "c"])
+
+    for batch in batches:
+        for held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
+            ends += not held_out
+            for piece in text_pieces(text.as_py() or b""):
+                (others if held_out else trained).update(piece.translate(LOWER_BYTES).split())
+                if len(trained) + len(others) > HELD_WORDS:
+                    yield handed()
+                    trained.clear()
+                    others.clear()
+                    ends = 0
+    yield handed()
+
+
+@dataclass(frozen=True)
+class CommonWords:
+    """Scores of the commonest words, found by the 64-bit hashes of their bytes."""
+
+    hashes: np.ndarray
+    known: np.ndarray
+    scores: np.ndarray  # base, mixed, spelled
+
+    @staticmethod
+    def of(rows: list) -> CommonWords:
+        raw = [r["word"].encode() for r in rows]
+        ends = np.cumsum([len(w) for w in raw], dtype=np.int64)
+        lengths = np.array([len(w) for w in raw], dtype=np.int64)
+        hashes = span_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), ends - lengths, ends) if raw else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(hashes)
+        scores = np.array([[r[k] for k in SUMS[2:]] for r in rows], dtype=float).reshape(-1, 3)
+        return CommonWords(hashes[order], np.array([r["c"] > 0 for r in rows], dtype=bool)[order], scores[order])
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is one of them, and where."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.hashes[at] == hashes, at
+
+
+def _text_words(common: CommonWords):
+    """A row of each text with its tokens and the sums of its common words, and rows of its other distinct words.
 
     Words of one row are told apart by 64-bit hashes.
     """
-    for batch in batches:
-        data, offsets = text_buffer(batch.column(3))
-        for lo, hi in byte_steps(offsets):
-            raw = LOWER[data[offsets[lo] : offsets[hi]]]
-            starts, ends, rows = word_spans(raw, offsets[lo : hi + 1] - offsets[lo])
-            hashes = span_hashes(raw, starts, ends)
-            order = np.lexsort((hashes, rows))
-            h, r = hashes[order], rows[order]
-            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))) if len(h) else order
-            n = np.diff(np.append(first, len(h)))
-            at, row = order[first], lo + r[first]
-            lengths = ends[at] - starts[at]
-            bounds = np.append(0, np.cumsum(lengths)).astype(np.int32)
-            letters = raw[gather(starts[at], lengths)]
-            words = pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(letters))
-            whose = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(whose) for i in range(3)), words, pa.array(n)], WORD_COLUMNS)
-        some = batch.num_rows
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], pa.nulls(some, pa.string()), pa.array(np.ones(some, dtype=np.int64))], WORD_COLUMNS
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(3))
+            for lo, hi in byte_steps(offsets):
+                raw = LOWER[data[offsets[lo] : offsets[hi]]]
+                starts, ends, rows = word_spans(raw, offsets[lo : hi + 1] - offsets[lo])
+                hashes = span_hashes(raw, starts, ends)
+                is_common, place = common.find(hashes)
+                whose, where = rows[is_common], place[is_common]
+                size = hi - lo
+                sums = [np.bincount(rows, minlength=size).astype(np.int64), np.bincount(whose, common.known[where], size).astype(np.int64)]
+                sums += [np.bincount(whose, common.scores[where, k], size).astype(float) for k in range(3)]
+                part = batch.slice(lo, size)
+                none = [pa.nulls(size, pa.string()), pa.nulls(size, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *none, *map(pa.array, sums)], NAMES)
+
+                h, r, s, e = (x[~is_common] for x in (hashes, rows, starts, ends))
+                order = np.lexsort((h, r))
+                h, r = h[order], r[order]
+                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))) if len(h) else order
+                n = np.diff(np.append(first, len(h)))
+                at, row = order[first], pa.array(lo + r[first])
+                lengths = e[at] - s[at]
+                bounds = np.append(0, np.cumsum(lengths)).astype(np.int32)
+                words = pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(raw[gather(s[at], lengths)]))
+                few = [pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(row), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.bool_()), words, pa.array(n), *few], NAMES
+                )
+
+    return run
 
 
 def fit_pieces(words: DataFrame, model: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -226,12 +313,14 @@ def lm_scores(
 ) -> DataFrame:
     """Each row's counts, its base score by smoothed words, and its lattice score, in log10.
 
-    Rows of fold 0 are held out; all others train. A text is its lower-cased
-    words and one end, which also counts as a token; a null or empty text is an
-    end alone. Repeated rows are scored and counted each for itself; a null id is
-    of fold 0. An empty table gives no rows. Distinct words are counted, scored
-    and joined by word, so the tables grow with the corpus, while the driver sees
-    one number per piece.
+    ``score`` is the model's, with learned words beside the lattice of pieces;
+    ``lattice_score`` is that of the lattice alone. Rows of fold 0 are held out;
+    all others train. A text is its lower-cased words and one end, which also
+    counts as a token; a null or empty text is an end alone. Repeated rows are
+    scored and counted each for itself; a null id is of fold 0. An empty table
+    gives no rows. Tables of words grow with the corpus, while the driver sees
+    one number per piece and the ``COMMON_WORDS`` commonest words, which are
+    scored in the tasks that read the texts; how many there are changes no result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -240,11 +329,8 @@ def lm_scores(
         F.monotonically_increasing_id().alias("part"), key.alias("doc_id"), (fold(key, FOLDS) == 0).alias("held_out"),
         F.col(text_col).alias("text"),
     )
-    # The row's number is made in one job only and read from there: another job may split the files otherwise.
-    words = stored(rows.mapInArrow(_doc_words, WORDS_SCHEMA))
-    heads = words.filter("word IS NULL").select("part", "doc_id", "held_out")
-    counted = words.groupBy("word").agg(F.sum(F.when(F.col("held_out"), 0).otherwise(F.col("n"))).alias("c"))
-    known = stored(counted)
+    counts = rows.select("held_out", "text").mapInArrow(_count_words, "word string, c long")
+    known = stored(counts.groupBy("word").agg(F.sum("c").alias("c")))
     word = F.col("word").isNotNull()
     totals = known.agg(
         F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.when(word & (F.col("c") > 0), 1)).alias("types"),
@@ -259,31 +345,41 @@ def lm_scores(
     scores = fit_pieces(known.filter(word), model, rounds)
     # An end is always seen where anything is; with no training at all it has an even chance.
     end_score = float(np.log10(ends / mass)) if ends else float(np.log10(0.5))
+    # For the lattice alone: each word is one more token before the end.
+    going_on = float(np.log1p(-min(ends / mass, 0.5))) if ends else float(np.log(0.5))
+
+    def base(c):
+        return np.log10((c + SMOOTHING) / (n + SMOOTHING * (v + 1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = lattice(model)[0]
         for batch in batches:
-            own = np.maximum(batch.column(1).to_numpy() - discount, 0.0) / mass
-            spelled = graph.log_probabilities(batch.column(0).to_pylist(), scores) + np.log(held_back / mass)
+            c = batch.column(1).to_numpy()
+            own = np.maximum(c - discount, 0.0) / mass
+            alone = graph.log_probabilities(batch.column(0).to_pylist(), scores)
             with np.errstate(divide="ignore"):
-                log10 = np.logaddexp(np.log(own), spelled) / np.log(10)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log10)], ["word", "c", "lattice"])
+                mixed = np.logaddexp(np.log(own), alone + np.log(held_back / mass))
+            logs = (base(c), mixed / np.log(10), (alone + going_on) / np.log(10))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, logs)], ["word", "c", *SUMS[2:]])
 
-    def base(c: Column) -> Column:
-        return F.log10((c + SMOOTHING) / F.lit(n + SMOOTHING * (v + 1)))
-
-    by_word = known.filter(word).mapInArrow(score, "word string, c long, lattice double")
-    joined = words.filter(word).select("part", "word", "n").join(by_word, "word")
-    sums = joined.groupBy("part").agg(
-        F.sum("n").alias("words"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known_words"),
-        F.sum(F.col("n") * base(F.col("c"))).alias("base"), F.sum(F.col("n") * F.col("lattice")).alias("lattice"),
-    )
+    by_word = stored(known.filter(word).mapInArrow(score, SCORED))
+    common = CommonWords.of(by_word.orderBy(F.desc("c"), "word").limit(COMMON_WORDS).collect())
+    # The row's number is made in one job only and read from there: another job may split the files otherwise.
+    found = stored(rows.mapInArrow(_text_words(common), WORDS_SCHEMA))
+    other = found.filter(word).select("part", "word", "n").join(by_word, "word")
+    times = [F.sum(F.col("n") * F.col(k)).alias(f"o_{k}") for k in SUMS[2:]]
+    sums = other.groupBy("part").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("o_known"), *times)
     zero = F.lit(0).cast("long")
-    return heads.join(sums, "part", "left").select(
+
+    def total(k: str) -> Column:
+        return F.col(k) + F.coalesce(F.col(f"o_{k}"), F.lit(0.0))
+
+    return found.filter(~word).drop("word", "n").join(sums, "part", "left").select(
         "doc_id", "held_out",
-        (F.coalesce("words", zero) + 1).alias("n_tokens"),
-        (F.coalesce("known_words", zero) + F.lit(int(ends > 0))).alias("n_known"),
+        (F.col("words") + 1).alias("n_tokens"),
+        (F.col("known_words") + F.coalesce("o_known", zero) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.coalesce("base", F.lit(0.0)) + base(F.lit(float(ends)))).alias("base_score"),
-        (F.coalesce("lattice", F.lit(0.0)) + F.lit(end_score)).alias("score"),
+        (total("base") + F.lit(float(base(ends)))).alias("base_score"),
+        (total("mixed") + F.lit(end_score)).alias("score"),
+        (total("spelled") + F.lit(end_score)).alias("lattice_score"),
     )
