@@ -1,9 +1,11 @@
 """Operator 7: sampling rates that bring soft domains to target token totals.
 
 A classifier trained on a labelled table gives each document its domain
-posteriors. Newton steps on one number per domain then fit nonnegative rates by
-least squares, so that the expected tokens of each domain, summed over posteriors,
-meet their targets while rates stay near one where the targets leave a choice.
+posteriors. Projected-gradient steps then fit nonnegative rates by least squares, so
+that the expected tokens of each domain, summed over posteriors, meet their targets.
+A step moves every rate and clips it to its bounds; how far follows from its
+posteriors and one number a domain, so rates are worked out where they are needed
+and the driver sees one total a domain and step.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from moodmill.llm.common import LOWER, bounded_batches, byte_steps, stored, text
 BUCKETS, MAX_LABELLED = 512, 4000
 # Posteriors are multiples of 1 / GRID. Equal ones share their rate, so the fit runs over them.
 GRID = 1 << 16
-# The fit stops where no domain is further from its best than this share of its own target.
-STEPS, NEARNESS, TOLERANCE = 200, 1e-7, 1e-6
-# Step lengths tried in one job, each a quarter of the one before.
-LENGTHS = 16
+# The fit stops where no total is further from its target than this share of it, or no step lowers the squares by more.
+STEPS, TOLERANCE, STILL = 80, 1e-6, 1e-9
+# Steps tried in one job: damping beside the curvature, and lengths.
+DAMPING, LENGTHS = (1e-9, 1e-4, 1e-1), (1.0, 0.3)
 
 
 @dataclass(frozen=True)
@@ -141,88 +143,99 @@ def document_posteriors(texts: DataFrame, model: DomainModel) -> DataFrame:
     return texts.mapInArrow(run, "n_tokens long, p array<double>")
 
 
+Step = tuple[bool, tuple[float, ...]]
+
+
 @dataclass(frozen=True)
 class RateRule:
-    """Rates follow from posteriors and one pull per domain."""
+    """Rates after some projected-gradient steps, each given by one pull a domain.
 
-    pulls: tuple[float, ...]
+    A plain step is divided by a rate's row sum of the squares to be minimised,
+    which bounds their curvature, so that it never leads upward; others have the
+    curvature between domains in their pulls.
+    """
+
+    steps: tuple[Step, ...]
+    curve: tuple[float, ...]
     max_rate: float
 
+    def step(self, r: np.ndarray, p: np.ndarray, plain: bool, pulls: tuple[float, ...]) -> np.ndarray:
+        move = p @ np.array(pulls)
+        if plain:
+            width = p @ np.array(self.curve)
+            move = move / np.where(width > 0, width, np.inf)
+        return np.clip(r - move, 0.0, self.max_rate)
+
     def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rates, and which of them lie within their bounds."""
-        r = 1.0 + p @ np.array(self.pulls)
-        return np.clip(r, 0.0, self.max_rate), (r >= 0.0) & (r <= self.max_rate)
-
-    def potential(self, p: np.ndarray) -> np.ndarray:
-        """Integrals of the rates over p @ pulls from where the rate is zero."""
-        r = 1.0 + p @ np.array(self.pulls)
-        inside = np.clip(r, 0.0, self.max_rate)
-        return inside * (r - inside / 2)
+        r = np.full(len(p), min(1.0, self.max_rate))
+        for plain, pulls in self.steps:
+            r = self.step(r, p, plain, pulls)
+        return r, (r > 0.0) & (r < self.max_rate)
 
 
 def _matrix(column: pa.Array, k: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def fit_rates(cells: DataFrame, targets: np.ndarray, *, max_rate: float, nearness: float = NEARNESS) -> RateRule:
-    """Nonnegative least squares over cells (p, tokens), by Newton steps on its dual.
+def fit_rates(cells: DataFrame, targets: np.ndarray, *, max_rate: float) -> RateRule:
+    """Nonnegative least squares over cells (p, tokens), by projected gradient on the rates.
 
-    Minimises half the squared misses of all domains, each relative to its own
-    target, plus ``nearness`` times half the token-weighted squared distance of
-    rates from one; so small a weight only decides between rates that meet the
-    targets alike. At the least, a rate is 1 + p @ pulls within its bounds, and
-    the pulls, one per domain, are the least of a convex function. Each step is a
-    job that sums the totals and slopes of a few step lengths.
+    Minimises the squared misses of all domains, each relative to its own target;
+    rates start at one. A step moves every rate along its gradient, scaled on the
+    side of the domains by the damped inverse curvature of the rates within their
+    bounds, and clips it. Whatever the damping, a point that such steps leave in
+    place is a least of the squares. Each job tries a few of them and a plain
+    gradient step, and returns totals and curvatures; the best goes on.
     """
-    k, scale = len(targets), max(float(targets.sum()), 1.0)
+    k = len(targets)
+    width = k + k * k
 
-    def sums(rules: list[RateRule]):
+    def sums(rule: RateRule, tried: list[Step | None]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            values = np.zeros((len(rules), 1 + k + k * k))
+            values = np.zeros((len(tried), width))
             for batch in batches:
                 p, tokens = _matrix(batch.column(0), k), batch.column(1).to_numpy().astype(float)
-                for rule, row in zip(rules, values, strict=True):
-                    r, free = rule.rates(p)
-                    row[0] += tokens @ rule.potential(p)
-                    row[1 : k + 1] += (tokens * r) @ p
-                    row[k + 1 :] += ((p * (tokens * free)[:, None]).T @ p).ravel()
+                at = rule.rates(p)[0]
+                for row, step in zip(values, tried, strict=True):
+                    r = at if step is None else rule.step(at, p, *step)
+                    free = tokens * ((r > 0.0) & (r < max_rate))
+                    row[:k] += (tokens * r) @ p
+                    row[k:] += ((p * free[:, None]).T @ p).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(values.size)), pa.array(values.ravel())], ["i", "v"])
 
         return run
 
-    def measure(pulls: list[np.ndarray]) -> np.ndarray:
-        rules = [RateRule(tuple(x.tolist()), max_rate) for x in pulls]
-        out = np.zeros(len(rules) * (1 + k + k * k))
-        for i, v in cells.mapInArrow(sums(rules), "i long, v double").groupBy("i").agg(F.sum("v")).collect():
+    def measure(rule: RateRule, tried: list[Step | None]) -> np.ndarray:
+        out = np.zeros(len(tried) * width)
+        for i, v in cells.mapInArrow(sums(rule, tried), "i long, v double").groupBy("i").agg(F.sum("v")).collect():
             out[i] = v
-        return out.reshape(len(rules), -1) / scale
-
-    at = np.zeros(k)
-    state = measure([at])[0]
-    # A target of nothing is measured by what there is (rates start at one, or at the bound below it).
-    size = np.where(targets > 0, targets / scale, np.maximum(state[1 : k + 1], 1 / scale))
-    soft = nearness * size**2
-
-    def value(pulls: np.ndarray, row: np.ndarray) -> float:
-        return float(row[0] - pulls @ (targets / scale) + soft @ pulls**2 / 2)
-
+        return out.reshape(len(tried), width)
+
+    # Before any step the totals are at rates of one, or at the bound below it.
+    rule = RateRule((), (0.0,) * k, max_rate)
+    state = measure(rule, [None])[0]
+    now = state[:k] / max(min(1.0, max_rate), 1e-300)
+    # A target of nothing is measured by what there is.
+    size = np.where(targets > 0, targets, np.maximum(now, 1.0))
+    rule = RateRule((), tuple((now / size**2).tolist()), max_rate)
     for _ in range(STEPS):
-        slope = state[1 : k + 1] - targets / scale + soft * at
-        if np.abs(slope / size).max() < TOLERANCE:
+        miss = (state[:k] - targets) / size
+        if np.abs(miss).max() < TOLERANCE:
             break
-        # In units of each domain's size, which keeps small domains apart from rounding.
-        curve = state[k + 1 :].reshape(k, k) / np.outer(size, size) + nearness * np.eye(k)
-        move = -np.linalg.solve(curve, slope / size) / size
-        tried = [at + move * 0.25**i for i in range(LENGTHS)]
-        found = measure(tried)
-        best = min(range(LENGTHS), key=lambda i: value(tried[i], found[i]))
-        steep = np.abs((found[0][1 : k + 1] - targets / scale + soft * tried[0]) / size).max()
-        if steep < TOLERANCE:  # there, whatever rounding does to the values
-            best = 0
-        elif value(tried[best], found[best]) >= value(at, state):
+        curvature = state[k:].reshape(k, k) / np.outer(size, size)
+        unit = max(float(np.trace(curvature)) / k, float((now / size**2).max()) * 1e-6)
+        tried: list[Step] = [(True, tuple((miss / size).tolist()))]
+        for damping in DAMPING:
+            pull = np.linalg.solve(curvature + damping * unit * np.eye(k), miss) / size
+            tried += [(False, tuple((length * pull).tolist())) for length in LENGTHS]
+        found = measure(rule, tried)
+        squares = (((found[:, :k] - targets) / size) ** 2).sum(1)
+        best = int(squares.argmin())
+        if squares[best] > (miss**2).sum() * (1 - STILL):
             break
-        at, state = tried[best], found[best]
-    return RateRule(tuple(at.tolist()), max_rate)
+        rule, state = RateRule((*rule.steps, tried[best]), rule.curve, max_rate), found[best]
+    return rule
 
 
 def mixing_rates(
