@@ -196,20 +196,33 @@ def _search(dim: int, beam: int, want: int):
             edges[i, : len(e)] = e
         entry = int(np.flatnonzero(left.column("entry").to_numpy())[0])
         y = _unit(right.combine_chunks().column("vector").chunk(0), dim)
-        ids = np.concatenate([beam_search(x, edges, entry, y[lo : lo + 256], beam)[0] for lo in range(0, len(y), 256)])[:, :want]
+        hits = [beam_search(x, edges, entry, y[lo : lo + 256], beam) for lo in range(0, len(y), 256)]
+        ids, far = (np.concatenate(h)[:, :want] for h in zip(*hits, strict=True))
         reps = left.column("rep").to_numpy()
         asked = np.repeat(right.column("rep").to_numpy(), ids.shape[1])
         flat = ids.ravel()
-        return pa.table({"query_rep": pa.array(asked[flat >= 0]), "rep": pa.array(reps[flat[flat >= 0]])})
+        held = flat >= 0
+        return pa.table({
+            "query_rep": pa.array(asked[held]), "rep": pa.array(reps[flat[held]]), "distance": pa.array(far.ravel()[held].astype(float))
+        })
 
     return run
 
 
+def _scaled(v: Column) -> Column:
+    """The vector times a power of two that brings its largest part near one: exact, and its squares stay finite."""
+    power = -F.floor(F.log2(F.array_max(F.transform(v, lambda x: F.abs(x)))))
+    half = F.floor(power / 2)
+    # In two steps, as the power of a tiny vector is no double itself.
+    return F.transform(v, lambda x: x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half))
+
+
 def _norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Of vectors as ``_scaled`` gives them."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return dot / (_norm(a) * _norm(b))
 
@@ -262,14 +275,18 @@ def nearest_neighbours(
     found = (
         index.withColumn("block", every_block).groupBy("shard", "block")
         .cogroup(asked.groupBy("shard", "block"))
-        .applyInArrow(_search(dim, beam, k + 1), "query_rep long, rep long")
+        .applyInArrow(_search(dim, beam, k + 1), "query_rep long, rep long, distance double")
     )
+    # Of all shards' answers only the nearest meet their vectors again, cut before the shuffle; twice as
+    # many as are wanted, and equal up to rounding by their ids, as these distances are not exact.
+    close = Window.partitionBy("query_rep").orderBy(F.round("distance", 9), "rep")
+    found = found.withColumn("nth", F.row_number().over(close)).filter(F.col("nth") <= 2 * (k + 1)).drop("nth")
 
     # Distinct results with exact scores; k + 1 of them hold the k nearest rows of any query of that vector.
     scored = (
         found.join(asking.select(F.col("rep").alias("query_rep"), F.col("vector").alias("asked")), "query_rep")
         .join(groups.select("rep", "ids", "vector"), "rep")
-        .select("query_rep", "ids", cosine(F.col("asked"), F.col("vector")).alias("score"))
+        .select("query_rep", "ids", cosine(_scaled(F.col("asked")), _scaled(F.col("vector"))).alias("score"))
     )
     best = Window.partitionBy("query_rep").orderBy(F.desc("score"), F.col("ids")[0])
     kept = scored.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1)
