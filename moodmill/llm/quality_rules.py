@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 SPACES = "\\x20\\x09-\\x0D"
 SYMBOLS = "[#*$%&|<>]"
-# Marks that running text seldom has; a line with one for every second word is no sentence.
-MARKS = "[#*$%&|<>=~^_{}\\[\\]!@\\\\]"
+# Marks that running text seldom has; a line of which they are a large share is markup or a separator. The marks
+# that end sentences, and few of any, say nothing.
+MARKS = "[#*$%&|<>=~^_{}\\[\\]@\\\\]"
+# A short line that breaks off is the teaser of another page.
+BREAKS_OFF = "(?:\\.\\.\\.|…)[\\x20\\x09-\\x0D]*\\z"
 SEPARATORS = "[|>]"
 # Phrases of short lines around a text rather than in it.
 BOILERPLATE = (
@@ -30,7 +33,9 @@ NOTICE = (
 
 @dataclass(frozen=True)
 class LineRules:
-    marks_per_word: float = 0.5
+    marks: int = 3
+    mark_pct: int = 25
+    teaser_words: int = 8
     separators: int = 3
     words_per_separator: int = 4
     boilerplate_words: int = 20
@@ -47,7 +52,8 @@ def _count(text: Column, chars: str) -> Column:
 def _line_fails(line: Column, words: Column, rules: LineRules) -> Column:
     """Punctuation, navigation and boilerplate rules; a line without words passes."""
     n = F.size(words)
-    separators = _count(line, SEPARATORS)
+    separators, marks = _count(line, SEPARATORS), _count(line, MARKS)
+    chars = F.length(line) - _count(line, f"[{SPACES}]")
     low = F.lower(line)
     near, common = F.lit(False), F.lit(False)
     for text in BOILERPLATE:
@@ -60,7 +66,8 @@ def _line_fails(line: Column, words: Column, rules: LineRules) -> Column:
         | (common & low.rlike(PHRASE % "|".join(COMMON)) & ((n == 1) | low.rlike(PHRASE % NOTICE)))
     )
     return (n > 0) & (
-        (_count(line, MARKS) >= n * F.lit(rules.marks_per_word))
+        ((marks >= rules.marks) & (marks * 100 >= chars * rules.mark_pct))
+        | ((n <= rules.teaser_words) & line.rlike(BREAKS_OFF))
         | ((separators >= rules.separators) & (separators * rules.words_per_separator >= n))
         | ((n <= rules.boilerplate_words) & phrase)
     )
@@ -160,24 +167,29 @@ def quality_rules(
     ).drop("_q_spaces")
 
 
-def _sql_list(texts: tuple[str, ...]) -> str:
-    return " OR ".join(f"contains(lower(line), '{t}')" for t in texts)
+def _sql_phrase(texts: str) -> str:
+    """The test of PHRASE without looking around, which DuckDB's expressions cannot."""
+    edge = "[^\\p{L}\\p{N}_]"
+    return f"regexp_matches(lower(line), '(^|{edge})(?:{texts})s?($|{edge})')"
 
 
 def quality_sql(rules: LineRules = LineRules()) -> str:
     """The verdict columns in DuckDB, from rows of lines and rows of windows."""
     space, k = "[^\\x20\\x09-\\x0D]+", rules.window
+    plain, common = "|".join(x for x in BOILERPLATE if x not in COMMON), "|".join(COMMON)
     return f"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
     w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '{space}') AS words, string_split(t, chr(10)) AS lines FROM d),
     line AS (
       SELECT rid, line, len(regexp_extract_all(line, '{space}')) AS n,
-        len(regexp_extract_all(line, '{MARKS}')) AS marks, len(regexp_extract_all(line, '{SEPARATORS}')) AS seps
+        len(regexp_extract_all(line, '{MARKS}')) AS marks, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars, len(regexp_extract_all(line, '{SEPARATORS}')) AS seps
       FROM (SELECT rid, unnest(lines) AS line FROM w)),
     verdict AS (
-      SELECT *, n > 0 AND (marks >= n * {rules.marks_per_word}
+      SELECT *, n > 0 AND ((marks >= {rules.marks} AND marks * 100 >= chars * {rules.mark_pct})
+        OR (n <= {rules.teaser_words} AND regexp_matches(line, '{BREAKS_OFF}'))
         OR (seps >= {rules.separators} AND seps * {rules.words_per_separator} >= n)
-        OR (n <= {rules.boilerplate_words} AND ({_sql_list(BOILERPLATE)}))) AS failed
+        OR (n <= {rules.boilerplate_words} AND ({_sql_phrase(plain)}
+          OR ({_sql_phrase(common)} AND (n = 1 OR {_sql_phrase(NOTICE)}))))) AS failed
       FROM line),
     by_doc AS (
       SELECT rid, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines, count(*) AS n_lines,

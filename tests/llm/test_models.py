@@ -378,3 +378,52 @@ def test_rates_stay_with_their_rows_when_files_are_split_otherwise(spark, respli
     labels = spark.createDataFrame([], "doc_id long, domain string")
     got = resplit(df, lambda d: mixing_rates(d, labels, {"a": 0.5, "b": 0.5}))
     assert {(r.doc_id, r.n_tokens) for r in got} == {(i, i) for i in range(60)}
+
+
+def test_common_words_change_no_score(spark, monkeypatch):
+    """Scores by the tasks that read the texts and by the join are one; the lattice's own follows from the pieces alone."""
+    import moodmill.llm.lm_scoring as lm
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["red", "green", "Blue", f"w{rng.randrange(60)}", "é" * 3]) for _ in range(rng.randrange(30)))) for i in range(90)]
+    df = spark.createDataFrame([*rows, (400, None), (None, "red red")], "doc_id long, text string")
+    found = []
+    for common in (1 << 16, 5, 0):
+        monkeypatch.setattr(lm, "COMMON_WORDS", common)
+        got = lm_scores(df, rounds=1).collect()
+        found.append(sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 7), round(r.score, 7), round(r.lattice_score, 7)) for r in got))
+    assert found[0] == found[1] == found[2]
+    pieces, graph, scores = tiny_lattice()
+    alone = graph.log_probabilities(["ab", "c"], scores)
+    assert np.isfinite(alone).all() and all(r[5] <= -0.0 for r in found[0])
+
+
+def least_squares(a, targets, max_rate, sweeps=3000):
+    """Bounded least squares of relative misses by moving one rate at a time."""
+    rows = a / targets[:, None]
+    r = np.minimum(np.ones(a.shape[1]), max_rate)
+    miss = rows @ r - 1
+    for _ in range(sweeps):
+        moved = 0.0
+        for j in range(a.shape[1]):
+            new = min(max(r[j] - rows[:, j] @ miss / (rows[:, j] @ rows[:, j]), 0.0), max_rate)
+            miss += rows[:, j] * (new - r[j])
+            moved, r[j] = max(moved, abs(new - r[j])), new
+        if moved < 1e-8:
+            break
+    return miss
+
+
+@pytest.mark.parametrize("max_rate", [math.inf, 1.0])
+def test_projected_gradient_finds_the_least_squares(spark, max_rate):
+    rng = np.random.default_rng(5)
+    p = on_grid(rng.dirichlet([0.3, 0.2, 0.1], 80))
+    tokens = rng.integers(1, 900, 80)
+    cells = spark.createDataFrame([(x.tolist(), int(t)) for x, t in zip(p, tokens, strict=True)], "p array<double>, tokens long")
+    a = (p * tokens[:, None]).T
+    for wanted in ([0.7, 0.2, 0.1], [0.01, 1.0, 2.0]):
+        targets = a.sum(1) * wanted
+        rates = fit_rates(cells, targets, max_rate=max_rate).rates(p)[0]
+        assert (rates >= 0).all() and (rates <= max_rate).all()
+        best = least_squares(a, targets, max_rate)
+        assert a @ rates / targets - 1 == pytest.approx(best, abs=2e-3)

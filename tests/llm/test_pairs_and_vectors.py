@@ -149,3 +149,18 @@ def test_graph_reaches_every_node():
     edges, entry = build_graph(x.copy(), degree=4, beam=8)
     ids, _ = beam_search(x, edges, entry, x[:1], 400)
     assert set(ids[0].tolist()) == set(range(400))
+
+
+def test_tiny_and_huge_vectors_have_their_cosines(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, 8))
+    scales = [1e-170, 1e170, 1.0, 1e-300, 1e300]
+    rows = [(i, (base[i] * scales[i % 5]).tolist()) for i in range(40)] + [(100, [5e-324] * 8), (101, [1e308] * 8)]
+    got = nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=5).collect()
+    exact = {i: np.array(v) / np.abs(v).max() for i, v in rows}
+    exact = {i: v / np.linalg.norm(v) for i, v in exact.items()}
+    for query in (0, 100):
+        want = sorted(((-float(exact[query] @ v), i) for i, v in exact.items() if i != query))[:5]
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == query)
+        assert [m[1] for m in mine] == [i for _, i in want]
+        assert [m[2] for m in mine] == pytest.approx([-s for s, _ in want], abs=1e-12)

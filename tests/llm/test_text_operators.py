@@ -188,3 +188,31 @@ def test_boilerplate_counts_between_word_boundaries_only(spark):
     for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         assert r.n_failed_lines == int(r.doc_id >= 100), r.text
         assert r.kept == (r.doc_id < 100)
+
+
+def test_sentences_and_short_lines_are_no_markup(spark):
+    """Marks that end sentences, and few of any, say nothing; teasers and rules of marks fail."""
+    clean = ["Thank you!", "Hello world!", "Stop!", "# Title", "$5 each", "50% off", "user@host.org", "Wait... what happened next?", "C# and F# code"]
+    failing = ["====", "***  ***", "{{{x}}}", "Our best offers of the week ...", "Read on…\r", "| a | b | c |"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*clean, *failing])], "doc_id long, text string")
+    got = {r.text: r.n_failed_lines for r in quality_rules(df).collect()}
+    assert [got[t] for t in clean] == [0] * len(clean) and [got[t] for t in failing] == [1] * len(failing)
+    talk = "\n".join(["Hi!", "Hello there!", "How are you?", "Fine, thanks!", "And you?", "Very well!", "Great!", "See you soon!", "Bye!", "Bye bye now!"])
+    assert [r.kept for r in quality_rules(spark.createDataFrame([(1, talk)], "doc_id long, text string")).collect()] == [True]
+
+
+def test_sql_says_what_the_rules_do(spark):
+    import duckdb
+
+    from moodmill.llm.quality_rules import quality_sql
+
+    rng = random.Random(12)
+    bits = ["cookie", "cookies", "accept", "Log in", "blog into", "catalog in", "sign in", "designs in", "javascript", "website", "!", "#", "&&&",
+            "word", "and", "more", "...", "…", "|", ">", "licensed under", "é", "read more", "ready more", "_cookie", "our cookies"]
+    rows = [(i, "\n".join(" ".join(rng.choice(bits) for _ in range(rng.randrange(9))) for _ in range(rng.randrange(12)))) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept n_lines n_failed_lines kept_words".split()
+    got = sorted(tuple(r[n] for n in names) for r in quality_rules(df).collect())
+    base = duckdb.connect()
+    documents = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})  # noqa: F841 - read by name
+    assert sorted(base.sql(f"SELECT {', '.join(names)} FROM ({quality_sql()})").fetchall()) == got
