@@ -281,6 +281,19 @@ def _text_words(common: CommonWords):
     return run
 
 
+def commonest(by_word: DataFrame, most: int) -> list:
+    """The commonest words, ``most`` at most: all whose count reaches the lowest eighth of an octave that leaves so few."""
+    step = F.floor(F.log2("c") * 8)
+    sizes = by_word.filter("c > 0").groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
+    lowest, held = None, 0
+    for row in sizes:
+        held += row["count"]
+        if held > most:
+            break
+        lowest = row["step"]
+    return [] if lowest is None else by_word.filter((F.col("c") > 0) & (step >= lowest)).collect()
+
+
 def fit_pieces(words: DataFrame, model: str, rounds: int = ROUNDS) -> np.ndarray:
     """Log-probabilities of the pieces, fitted to the distinct training words (word, c > 0).
 
@@ -363,7 +376,7 @@ def lm_scores(
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, logs)], ["word", "c", *SUMS[2:]])
 
     by_word = stored(known.filter(word).mapInArrow(score, SCORED))
-    common = CommonWords.of(by_word.orderBy(F.desc("c"), "word").limit(COMMON_WORDS).collect())
+    common = CommonWords.of(commonest(by_word, COMMON_WORDS))
     # The row's number is made in one job only and read from there: another job may split the files otherwise.
     found = stored(rows.mapInArrow(_text_words(common), WORDS_SCHEMA))
     other = found.filter(word).select("part", "word", "n").join(by_word, "word")
