@@ -10,7 +10,7 @@ from moodmill.catalog.registry import REGISTRY, Query
 
 MODULES = (
     "sources", "filters", "text", "scoring", "joins", "dedupe", "aggregates", "ranking",
-    "sampling", "gate", "exports", "streams", "jobs", "trends",
+    "sampling", "gate", "exports", "streams", "jobs", "trends", "storage",
 )
 
 
