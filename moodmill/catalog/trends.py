@@ -209,6 +209,36 @@ def series_density(spark, d):
     return T.density(_daily(spark, d), "2024-01-01", "2024-02-11")
 
 
+@query(
+    with_(
+        *_TAGGED, _DAILY,
+        "numbered AS (SELECT *, row_number() OVER (PARTITION BY topic, platform ORDER BY day) AS nth FROM daily)",
+        """walk AS (
+  WITH RECURSIVE w AS (
+    SELECT topic, platform, nth, 0 AS bin, sample_size::BIGINT AS held FROM numbered WHERE nth = 1
+    UNION ALL SELECT s.topic, s.platform, s.nth, w.bin + (w.held >= 20)::INTEGER,
+      s.sample_size + CASE WHEN w.held >= 20 THEN 0 ELSE w.held END
+    FROM w JOIN numbered s ON s.topic = w.topic AND s.platform = w.platform AND s.nth = w.nth + 1)
+  SELECT * FROM w)""",
+        "ends AS (SELECT topic, platform, max(bin) AS top, arg_max(held, nth) AS held FROM walk GROUP BY ALL)",
+        """bins AS (
+  SELECT topic, platform, CASE WHEN bin = top AND ends.held < 20 THEN greatest(bin - 1, 0) ELSE bin END AS bin, min(day) AS day,
+    max(day) AS last_day, count(*) AS days, sum(sample_size)::BIGINT AS n, sum(sum_polarity) AS s1, sum(sum_sq_polarity) AS s2
+  FROM walk JOIN numbered USING (topic, platform, nth) JOIN ends USING (topic, platform) GROUP BY ALL)""",
+        """SELECT topic, platform, strftime(day, '%Y-%m-%d') AS day, strftime(last_day, '%Y-%m-%d') AS last_day, days, n AS sample_size,
+  round(s1 / n, 6) AS mean_polarity,
+  round(s1 / n - 1.96 * sqrt(greatest(s2 - s1 * s1 / n, 0) / (CASE WHEN n > 1 THEN n - 1 END) / n), 6) AS low,
+  round(s1 / n + 1.96 * sqrt(greatest(s2 - s1 * s1 / n, 0) / (CASE WHEN n > 1 THEN n - 1 END) / n), 6) AS high FROM bins""",
+    )
+)
+def series_widened(spark, d):
+    w = T.widened(_daily(spark, d))
+    return w.select(
+        "topic", "platform", *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("day", "last_day")), "days", "sample_size",
+        *(F.round(c, 6).alias(c) for c in ("mean_polarity", "low", "high")),
+    )
+
+
 @query(
     with_(
         CORPUS,

@@ -224,6 +224,42 @@ def density(series: DataFrame, first: dt.date | str, last: dt.date | str,
     )
 
 
+def widened(series: DataFrame, keys: Sequence[str] = ("topic", "platform"), min_sample: int = MIN_SAMPLE,
+            z: float = 1.96) -> DataFrame:
+    """Neighbouring days merged until each bin holds ``min_sample`` documents, with an interval for each mean.
+
+    Bins are filled from the oldest day on, so one that is full stays as it is
+    when days are added. Days left at the end join the last full bin; a series
+    that never fills one is a single bin. The interval is the mean plus and minus
+    ``z`` standard errors from the bin's own moments; a bin of one document has
+    none. A series is one row a day, so its days fit into one array.
+    """
+    days = series.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("day", *MOMENTS))).alias("_days"))
+    start = F.struct(F.lit(0).alias("bin"), F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("bins"))
+
+    def put(state: Column, day: Column) -> Column:
+        held = state["held"] + day["sample_size"]
+        full = held >= min_sample
+        return F.struct(
+            F.when(full, state["bin"] + 1).otherwise(state["bin"]).alias("bin"),
+            F.when(full, F.lit(0).cast("long")).otherwise(held).alias("held"),
+            F.concat(state["bins"], F.array(state["bin"])).alias("bins"),
+        )
+
+    placed = days.withColumn("_s", F.aggregate("_days", start, put))
+    # Numbers past the last full bin are those of the days left over.
+    last = F.greatest(F.col("_s.bin") - 1, F.lit(0))
+    binned = placed.select(*keys, last.alias("_last"), F.explode(F.arrays_zip("_days", F.col("_s.bins").alias("bins"))).alias("_d"))
+    merged = binned.groupBy(*keys, F.least(F.col("_d.bins"), F.col("_last")).alias("bin")).agg(
+        F.min("_d._days.day").alias("day"), F.max("_d._days.day").alias("last_day"), F.count("*").alias("days"),
+        *(F.sum(F.col(f"_d._days.{m}")).alias(m) for m in MOMENTS),
+    )
+    n, mean = F.col("sample_size"), F.col("mean_polarity")
+    squares = F.greatest(F.col("sum_sq_polarity") - n * mean * mean, F.lit(0.0))
+    error = F.when(n > 1, z * F.sqrt(squares / (n - 1) / n))
+    return with_statistics(merged).withColumns({"low": mean - error, "high": mean + error})
+
+
 # Thresholds of the data-sanity gate.
 MIN_NEW_DOCS, MIN_VS_MEDIAN, MAX_SHARE = 2_000, 0.5, 0.95
 

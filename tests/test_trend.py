@@ -122,3 +122,17 @@ def test_length_batches(spark):
     assert sorted(r["count"] for r in flushed.collect()) == [2, 2, 2, 2, 8]
     hot = spark.range(3_000).select(F.lit("p").alias("platform"), F.col("id").cast("string").alias("doc_id"), F.lit("same").alias("text"))
     assert sorted(r["rank"] for r in length_rank(hot).select("rank").collect()) == list(range(1, 3_001))
+
+
+def test_thin_days_are_merged_until_there_is_enough(spark):
+    thin = series(spark, {9: [0.1] * 12, 8: [0.3] * 9, 7: [0.2] * 25, 3: [-0.4] * 5, 2: [0.6] * 14})
+    rows = T.widened(thin).orderBy("day").collect()
+    # Nineteen documents are left at the end and join the bin before them.
+    assert [(str(r["day"])[5:], str(r["last_day"])[5:], r["days"], r["sample_size"]) for r in rows] == [("08-22", "08-23", 2, 21), ("08-24", "08-29", 3, 44)]
+    values = [0.1] * 12 + [0.3] * 9
+    mean = sum(values) / 21
+    error = 1.96 * (sum((v - mean) ** 2 for v in values) / 20 / 21) ** 0.5
+    assert (rows[0]["low"], rows[0]["high"]) == (pytest.approx(mean - error), pytest.approx(mean + error))
+    (single,) = T.widened(series(spark, {1: [0.5]})).collect()
+    assert single["sample_size"] == 1 and single["mean_polarity"] == 0.5 and single["low"] is None
+    assert T.widened(thin.limit(0)).count() == 0
