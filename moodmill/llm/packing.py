@@ -76,32 +76,54 @@ class Fill:
 
 
 class _Gaps:
-    """Finds lengths whose sum is exactly a gap, by their indexes of single lengths and pair sums."""
+    """Index from a sum to the lengths that make it up: singles, pairs and triples.
+
+    A sum maps to the largest members of its combinations, which are hashed when
+    a gap first asks for the sum. A combination is taken if enough of its lengths
+    are left. As lengths only ever run out, one that cannot be taken is dropped
+    from its sum for good, so that no combination is tried twice in vain.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def _members(self, low: int, high: int) -> list[int]:
+        """Lengths left in [low, high], ascending, so that the largest is last."""
+        return (np.flatnonzero(self.counts[low : high + 1]) + low).tolist() if low <= high else []
 
     def single(self, gap: int) -> tuple[int, ...] | None:
         return (gap,) if self.counts[gap] else None
 
+    def _pair_sums(self, gap: int) -> list[int]:
+        if gap not in self.pairs:
+            self.pairs[gap] = [a for a in self._members((gap + 1) // 2, gap - 1) if self.counts[gap - a]]
+        return self.pairs[gap]
+
     def pair(self, gap: int) -> tuple[int, ...] | None:
         """The pair with the largest member."""
-        low = np.arange(1, gap // 2 + 1)
-        high = gap - low
-        fits = (self.counts[low] > 0) & (self.counts[high] > 0) & ((low != high) | (self.counts[low] > 1))
-        found = np.flatnonzero(fits)
-        return (int(high[found[0]]), int(low[found[0]])) if len(found) else None
+        sums = self._pair_sums(gap)
+        while sums:
+            a, b = sums[-1], gap - sums[-1]
+            if self.counts[a] > (a == b) and self.counts[b]:
+                return a, b
+            sums.pop()
+        return None
 
     def triple(self, gap: int) -> tuple[int, ...] | None:
-        """The triple with the largest member that a pair sum completes."""
-        for a in np.flatnonzero(self.counts[: gap - 1])[::-1].tolist():
-            if 3 * a < gap:
-                break
-            self.counts[a] -= 1
-            rest = self.pair(gap - a)
-            self.counts[a] += 1
-            if rest:
-                return (a, *rest)
+        """The triple with the largest member that a pair sum completes with no larger ones."""
+        if gap not in self.triples:
+            self.triples[gap] = self._members(-(-gap // 3), gap - 2)
+        sums = self.triples[gap]
+        while sums:
+            a = sums[-1]
+            # The pair's own look drops what has run out from its sum.
+            for b in reversed(self.pairs[gap - a] if self.pair(gap - a) else []):
+                need = (a, b, gap - a - b)
+                if b <= a and all(self.counts[x] >= need.count(x) for x in need):
+                    return need
+            sums.pop()
         return None
 
 

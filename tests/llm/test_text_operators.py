@@ -1,5 +1,6 @@
 """Token counts, quality rules and packing against plain Python."""
 
+import itertools
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 from moodmill.llm.bpe import part_encoder
 from moodmill.llm.common import span_hashes, text_buffer, word_spans
-from moodmill.llm.packing import pack_documents, pack_pieces, plan_fills
+from moodmill.llm.packing import _Gaps, pack_documents, pack_pieces, plan_fills
 from moodmill.llm.quality_rules import quality_rules
 from moodmill.llm.token_counts import token_counts
 
@@ -170,6 +171,25 @@ def test_packing_closes_gaps_exactly(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_sum_index_finds_what_every_combination_finds():
+    """Also while lengths run out, which is when combinations are dropped from their sums."""
+    rng = random.Random(2)
+    for _ in range(40):
+        counts = np.array([0, *(rng.choice([0, 0, 1, 2, 3]) for _ in range(24))])
+        gaps = _Gaps(counts)
+        while counts.any():
+            for gap in rng.sample(range(1, 25), 8):
+                for size, look in ((1, gaps.single), (2, gaps.pair), (3, gaps.triple)):
+                    every = [
+                        c for c in itertools.combinations_with_replacement(range(1, 25), size)
+                        if sum(c) == gap and all(counts[x] >= c.count(x) for x in c)
+                    ]
+                    got = look(gap)
+                    assert (got is not None) == bool(every)
+                    assert got is None or tuple(sorted(got)) in every
+            counts[rng.choice(np.flatnonzero(counts).tolist())] -= 1
+
+
 def test_boilerplate_counts_between_word_boundaries_only(spark):
     clean = [
         "The catalog includes all of the works that she wrote in her last years.",
