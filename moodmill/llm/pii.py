@@ -30,12 +30,31 @@ BASE = {
     "card": "[0-9](?:[ \\-]?[0-9])++",
     "phone": "\\+[0-9][ ().0-9\\-]+[0-9]",
 }
-# Written-out addresses, four-part numbers, spaced digit groups, and numbers without a country code.
+_AT = "(?: ?[\\[({<](?:at|@)[\\])}>] ?| @ )"
+_DOT = "(?:\\.| ?[\\[({<](?:dot|\\.)[\\])}>] ?| dot )"
+_LOCAL = "(?<![A-Za-z0-9._%+\\-])[A-Za-z0-9._%+\\-]{1,64}+"
+_LABEL = "[A-Za-z0-9\\-]{1,63}+"
+_V4_DOT = "(?: ?[\\[({]\\.[\\])}] ?| \\. |[\\[({]dot[\\])}])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+# What the base forms leave out: written-out and spaced addresses; four-part numbers with
+# guarded dots and eight-part addresses; cards of 13 to 15 digits and other separators; national
+# numbers and those that begin with 00. Failed matches of base forms come in too, as evidence.
 WIDE = {
-    "email": "(?i)(?<![A-Za-z0-9._%+\\-])[A-Za-z0-9._%+\\-]{1,64}+ ?[\\[({]at[\\])}] ?[A-Za-z0-9\\-]{1,63}+ ?(?:\\.|[\\[({]dot[\\])}]) ?[A-Za-z]{2,10}",
-    "ip": BASE["ip"],
-    "card": BASE["card"],
-    "phone": "(?<![0-9+(])\\(?[0-9]{3}\\)?[ .\\-][0-9]{3}[ .\\-][0-9]{4}(?![0-9])",
+    "email": f"(?i){_LOCAL}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})+| at {_LABEL}(?: dot {_LABEL})+)",
+    "ip": (
+        f"(?<![0-9])[0-9]{{1,3}}(?:{_V4_DOT}[0-9]{{1,3}}){{3}}(?![0-9])"
+        f"|(?<![A-Za-z0-9:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![A-Za-z0-9:])"
+        f"|{BASE['ip']}"
+    ),
+    "card": "(?<![0-9])[0-9](?:[ .\\-/]{0,2}[0-9]){12,18}(?![0-9])",
+    "phone": (
+        "(?<![0-9A-Za-z+.\\-/_])(?:"
+        "00[1-9](?:[ .\\-/]?[0-9]){7,13}"
+        "|0[1-9](?:[ .\\-]?[0-9]{2}){4}"
+        "|\\(?0[0-9]{1,4}\\)?[ /\\-][0-9]{2,4}(?:[ \\-]?[0-9]{2,4}){1,3}"
+        "|(?:1[ .\\-])?(?:\\([0-9]{3}\\) ?|[0-9]{3}[ .\\-])[0-9]{3}[ .\\-][0-9]{4}"
+        ")(?![0-9])"
+    ),
 }
 HINTS = {
     "email": lambda t: F.contains(t, F.lit("@")),
@@ -43,20 +62,47 @@ HINTS = {
     "card": lambda t: t.rlike("[0-9](?:[ \\-]?[0-9]){12}"),
     "phone": lambda t: F.contains(t, F.lit("+")),
 }
-WIDE_HINTS = HINTS | {
-    "email": lambda t: t.rlike("(?i)[\\[({]at[\\])}]"),
-    "phone": lambda t: t.rlike("[0-9]{3}[ .\\-][0-9]{4}"),
+WIDE_HINTS = {
+    "email": lambda t: t.rlike("(?i)[\\[({<](?:at|@)[\\])}>]| dot [a-z]| @ "),
+    "ip": lambda t: t.rlike("[0-9](?:\\.| ?[\\[({]|\\s\\.)|[0-9A-Fa-f]::?[0-9A-Fa-f]"),
+    "card": lambda t: t.rlike("[0-9](?:[ .\\-/]{0,2}[0-9]){12}"),
+    "phone": lambda t: t.rlike("[0-9](?:[ .\\-/()]{0,2}[0-9]){7}"),
 }
 
 # Gazetteers and context words, fixed values.
-DOMAINS = "com org net edu gov io co info biz de fr es uk eu it nl ch at be us ca au jp cn in br".split()
+GENERIC_DOMAINS = (
+    "com org net edu gov mil int info biz name pro mobi app dev io ai co me tv cc xyz online site shop store blog cloud tech "
+    "agency club email live news space today website world example test"
+).split()
+COUNTRY_DOMAINS = (
+    "ac ae ar at au az ba bd be bg bh bo br by ca ch ci cl cm cn cr cy cz de dk do dz ec ee eg es eu fi fr ge gh gr gt hk hn hr "
+    "hu id ie il in iq ir is it jm jo jp ke kh kr kw kz lb li lk lt lu lv ly ma md mk mm mn mt mx my mz na ng ni nl no np nz om "
+    "pa pe ph pk pl pt py qa ro rs ru rw sa se sg si sk sn sv th tn tr tt tw tz ua ug uk us uy uz ve vn za zm zw"
+).split()
+DOMAINS = GENERIC_DOMAINS + COUNTRY_DOMAINS
+# Beginnings and lengths that card issuers use.
+ISSUERS = (
+    "^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}"
+    "|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11}|(?:6011|65[0-9]{2}|64[4-9][0-9]|35[2-8][0-9]|62[0-9]{2})[0-9]{12,15}"
+    "|(?:50|5[6-9]|6[0-9])[0-9]{11,17})$"
+)
+# Country codes of one, two and three digits behind 00 or +.
+CALLING = (
+    "(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+    "|2(?:1[1-9]|2[0-9]|3[0-9]|4[0-9]|5[0-8]|6[0-9]|9[0-9])|3(?:5[0-9]|7[0-9]|8[0-9])|42[013]|50[0-9]|59[0-9]|6(?:7[0-9]|8[0-9]|9[0-2])"
+    "|8(?:0[08]|5[0-9]|8[0-8])|9(?:6[0-8]|7[0-79]|9[2-8]))"
+)
 SPEAKS_FOR = {
-    "email": ("mail", "contact", "kontakt", "courriel", "correo", "write to", "reach"),
-    "ip": ("ip", "server", "host", "address", "login", "client"),
-    "card": ("card", "karte", "carte", "tarjeta", "visa", "credit", "payment", "account"),
-    "phone": ("call", "phone", "tel", "mobile", "fax", "anruf", "appel", "llama"),
+    "email": ("mail", "contact", "kontakt", "courriel", "correo", "posta", "write to", "reach", "address", "ask ", "support"),
+    "ip": ("ip", "server", "host", "address", "login", "client", "connect", "ping", "gateway", "router", "node", "dns", "logged", "from "),
+    "card": ("card", "karte", "carte", "tarjeta", "carta", "visa", "amex", "express", "diners", "maestro", "credit", "debit", "payment", "paid", "account"),
+    "phone": ("call", "phone", "tel", "mobile", "cell", "fax", "ring", "dial", "text me", "whatsapp", "sms", "reach", "anruf", "appel", "llama", "chiama", "number is", "contact"),
 }
-SPEAKS_AGAINST = ("version", "release", "build", "isbn", "serial", "order", "invoice", "article", "id ", "id:", "no.", "number of")
+SPEAKS_AGAINST = (
+    "version", "release", "build", "isbn", "issn", "serial", "order", "invoice", "article", "id ", "id:", "no.", "number of",
+    "section", "chapter", "page", "score", "ratio", "tracking", "sku", "part ", "ticket", "timestamp", "epoch", "doi",
+)
+DATE = "^(?:[0-3]?[0-9][./\\- ][01]?[0-9][./\\- ](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[./\\- ][01][0-9][./\\- ][0-3][0-9])"
 CONTEXT = 40
 LABELERS = ("pattern", "gazetteer", "context", "shape")
 # A failed check digit or octet is arithmetic, the others are habits of writing.
@@ -115,24 +161,60 @@ def _vote(yes: Column, no: Column) -> Column:
 
 def _gazetteer(kind: str, match: Column) -> Column:
     if kind == "email":
-        known = F.lower(F.regexp_extract(match, "([A-Za-z]+)$", 1)).isin(*DOMAINS)
+        known = F.lower(F.regexp_extract(match, "([A-Za-z0-9\\-]+)$", 1)).isin(*DOMAINS)
         return _vote(known, ~known)
     if kind == "ip":
         first = F.regexp_extract(match, "^0*([0-9]+)", 1)
-        odd = first.isin("0", "255") | (F.length(first) > 3)
+        wide = F.contains(match, F.lit(":"))
+        odd = F.when(wide, ~match.rlike("(?i)^(?:[23][0-9a-f]{3}|f[cdef][0-9a-f]{2}):")).otherwise(
+            first.isin("", "255") | (F.length(first) > 3)
+        )
         return _vote(~odd, odd)
+    digits = _digits(match)
     if kind == "card":
-        issuer = F.substring(match, 1, 1).isin("3", "4", "5", "6")
+        issuer = digits.rlike(ISSUERS)
         return _vote(issuer, ~issuer)
-    area = F.regexp_extract(match, "([0-9]{3})", 1)
-    return _vote(F.lit(False), area.isin("000", "555", "999"))
+    # Country codes, areas and exchanges of the American plan, and trunk prefixes of other plans.
+    known = (
+        match.rlike("^\\+") & digits.rlike(f"^{CALLING}") | digits.rlike(f"^00{CALLING}")
+        | digits.rlike("^1?[2-9][0-8][0-9][2-9][0-9]{6}$") | digits.rlike("^0[1-9][0-9]{7,10}$")
+    )
+    return _vote(known, ~known | digits.rlike("^1?(?:000|555|999)"))
+
+
+def _shape(kind: str, match: Column, joined: Column) -> Column:
+    """How regularly a match is written; letters that touch it speak against it."""
+    if kind == "email":
+        regular, odd = match.rlike("[\\[({<].*[\\])}>]") | match.rlike("^[^ ]+$"), match.rlike("^[._%+\\-]|[0-9]$")
+    elif kind == "ip":
+        marks = F.array_distinct(F.filter(F.split(match, "[0-9A-Fa-f]+"), lambda x: x != ""))
+        regular, odd = F.size(marks) <= 1, match.rlike("^0[0-9]|[^:]0[0-9]{2}[^0-9A-Fa-f:]")
+    elif kind == "card":
+        regular = match.rlike("^(?:[0-9]{4}([ .\\-/]?)[0-9]{4}\\1[0-9]{4}\\1[0-9]{1,7}|[0-9]{4}([ \\-]?)[0-9]{6}\\2[0-9]{4,5}|[0-9]+)$")
+        odd = match.rlike("[ .\\-/]{2}") | match.rlike("^([0-9])\\1+$")
+    else:
+        marks = F.array_distinct(F.filter(F.split(match, "[0-9]+"), lambda x: x != ""))
+        regular = match.rlike("^[+(]") | (F.size(marks) == 1)
+        odd = match.rlike(DATE) | match.rlike("([0-9])\\1{6}")
+    return _vote(regular & ~odd & ~joined, odd | joined)
+
+
+def _passes(kind: str, match: Column) -> Column:
+    """The tests of wider forms: the base tests, for cards from 13 digits on, and no dates as numbers."""
+    n = F.length(_digits(match))
+    if kind == "card":
+        return F.when((n >= 13) & (n <= 19), _luhn(_digits(match))).otherwise(F.lit(False))
+    if kind == "ip":
+        plain = F.regexp_replace(F.regexp_replace(match, "(?i)dot", "."), "[^0-9.]", "")
+        return F.contains(match, F.lit(":")) | _octets(plain)
+    if kind == "phone":
+        return (n >= 8) & (n <= 15) & ~match.rlike(DATE)
+    return F.lit(True)
 
 
 def _candidates(text: Column, kind: str, base: Column) -> Column:
     """Wider matches that no base span of the kind meets, with the votes on them."""
     wide = spans_if(WIDE_HINTS[kind](text), text, WIDE[kind])
-    if kind == "card":
-        wide = F.filter(wide, lambda s: F.length(_digits(s["match"])).between(13, 19))
     alone = F.filter(wide, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return _voted(text, kind, alone, F.lit(False))
 
@@ -141,16 +223,21 @@ def _voted(text: Column, kind: str, spans: Column, exact: Column) -> Column:
     def votes(s: Column) -> Column:
         match = s["match"]
         before = F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(CONTEXT)).cast("int")))
-        after = F.substring(text, (s["end"] + 1).cast("int"), F.lit(1))
-        joined = after.rlike("[A-Za-z0-9_]") | before.rlike("[a-z0-9_]$")
-        ok = F.lit(True) if kind in ("email", "phone") else _valid(kind, match)
+        after = F.substring(text, (s["end"] + 1).cast("int"), F.lit(2))
+        joined = after.rlike("^[A-Za-z0-9_]") | before.rlike("[a-z0-9_]$")
+        ok = exact | _passes(kind, match)
+        checked = F.lit(kind in ("ip", "card"))
         return F.struct(
             F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), exact.alias("exact"),
-            _vote(exact | (ok & F.lit(kind not in ("email", "phone"))), ~ok).alias("pattern"),
+            _vote(exact | (ok & checked), ~ok).alias("pattern"),
             _gazetteer(kind, match).alias("gazetteer"),
             _vote(any_word(before, SPEAKS_FOR[kind]), any_word(before, SPEAKS_AGAINST)).alias("context"),
-            _vote(F.lit(False), joined).alias("shape"),
+            _shape(kind, match, joined).alias("shape"),
             F.least(F.length(_digits(match)), F.lit(40)).cast("int").alias("digits"),
+            # What no labeler sees: separators, and what stands directly before and behind.
+            F.least(F.length(F.regexp_replace(match, "[A-Za-z0-9]", "")), F.lit(4)).cast("int").alias("marks"),
+            before.rlike("(?:[:=(\\[<\"']|\\b(?:is|at|on|to|am|um|au|al|by|with)) ?$").cast("int").alias("led"),
+            after.rlike("^(?:$|[\\s,;)\\]>\"'!?]|\\.(?:$|\\s))").cast("int").alias("closed"),
         )
 
     return F.transform(spans, votes)
@@ -190,20 +277,25 @@ def estimate_reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 30)
     return model
 
 
-def _features(kind: str, votes: tuple[int, ...], bucket: int) -> list[float]:
-    return [*(float(kind == k) for k in KINDS), *map(float, votes), bucket / 4]
+TRAITS = ("marks", "led", "closed")
+
+
+def _features(kind: str, votes: tuple[int, ...], traits: tuple[int, ...], bucket: int) -> list[float]:
+    marks, led, closed = traits
+    return [*(float(kind == k) for k in KINDS), *map(float, votes), marks / 4, float(led), float(closed), bucket / 4]
 
 
 def train_span_classifier(found: DataFrame, *, iterations: int = 40) -> tuple[list[float], float]:
     """Weights and intercept of the span classifier, from all spans' votes.
 
-    The spans are counted by kind, votes and number of digits; there are at most
-    a few thousand such patterns however many spans there are, so no sample is
-    taken. Each pattern trains as both classes, weighted by its posterior.
+    The spans are counted by kind, votes, number of digits and traits; there are
+    few such patterns however many spans there are (4 * 81 * 11 * 20 at the very
+    most), so no sample is taken. Each pattern trains as both classes, weighted
+    by its posterior.
     """
     spark = found.sparkSession
     bucket = F.floor(F.col("digits") / DIGIT_BUCKET).cast("int").alias("bucket")
-    rows = found.groupBy("kind", *LABELERS, bucket).count().collect()
+    rows = found.groupBy("kind", *LABELERS, *TRAITS, bucket).count().collect()
     counts: dict[tuple[int, ...], int] = {}
     for r in rows:
         votes = tuple(int(r[name]) for name in LABELERS)
@@ -212,10 +304,10 @@ def train_span_classifier(found: DataFrame, *, iterations: int = 40) -> tuple[li
     data = []
     for r in rows:
         votes = tuple(int(r[name]) for name in LABELERS)
-        p, x = _posterior(votes, model), _features(r["kind"], votes, r["bucket"])
+        p, x = _posterior(votes, model), _features(r["kind"], votes, tuple(r[t] for t in TRAITS), r["bucket"])
         data += [(x, 1.0, r["count"] * p), (x, 0.0, r["count"] * (1 - p))]
     if not data:
-        return [0.0] * (len(KINDS) + len(LABELERS) + 1), -math.inf
+        return [0.0] * (len(KINDS) + len(LABELERS) + len(TRAITS) + 1), -math.inf
     table = _training_table(spark, data)
     fitted = LogisticRegression(weightCol="weight", maxIter=iterations, regParam=1e-3, standardization=False).fit(table)
     return [float(v) for v in fitted.coefficients], float(fitted.intercept)
@@ -230,8 +322,9 @@ def _probability(c: Column, weights: list[float], intercept: float) -> Column:
     score = F.lit(intercept)
     for kind, w in zip(KINDS, weights, strict=False):
         score = score + F.when(c["kind"] == kind, w).otherwise(0.0)
-    for name, w in zip(LABELERS, weights[len(KINDS) :], strict=False):
-        score = score + c[name] * F.lit(w)
+    scaled = [c[name] for name in LABELERS] + [c["marks"] / 4, c["led"], c["closed"]]
+    for value, w in zip(scaled, weights[len(KINDS) :], strict=False):
+        score = score + value * F.lit(w)
     score = score + F.floor(c["digits"] / DIGIT_BUCKET) / 4 * F.lit(weights[-1])
     return 1 / (1 + F.exp(-score))
 
@@ -244,8 +337,8 @@ def find_pii(
     Columns: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, n_added, spans,
     and found, the spans as structs. ``spans`` holds kind:start:end by kind as in
     ``KINDS`` and then by start, in code points with an exclusive end. A candidate
-    joins them if it fails no test of its kind and the classifier gives it at
-    least ``threshold``. Null and empty
+    joins them if it fails no test of its kind, no word before it speaks against
+    it, and the classifier gives it at least ``threshold``. Null and empty
     texts have no spans; repeated rows are read each for itself; an empty table
     gives no rows. One scan of the texts and no shuffle of them: candidates and
     spans are kept in each row and stored without the text.
@@ -267,8 +360,8 @@ def find_pii(
     )
     exploded = seen.select(F.explode(F.concat("base", "wide")).alias("c")).select("c.*")
     weights, intercept = train_span_classifier(exploded)
-    # A failed check digit or octet outweighs any context.
-    added = F.filter("wide", lambda c: (c["pattern"] >= 0) & (_probability(c, weights, intercept) >= threshold))
+    # A failed check digit or octet outweighs any context, and words before outweigh how a match looks.
+    added = F.filter("wide", lambda c: (c["pattern"] >= 0) & (c["context"] >= 0) & (_probability(c, weights, intercept) >= threshold))
     order = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
 
     def ordered(spans: Column) -> Column:
