@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from moodmill.llm.lm_scoring import Lattice, lm_scores, vocabulary
 from moodmill.llm.mixing import copies, fit_rates, mixing_rates, on_grid
 from moodmill.llm.pii import KINDS, estimate_reliabilities, find_pii
-from moodmill.llm.secret_scan import FEATURES, candidates, forest_share, scan_secrets, train_forest
+from moodmill.llm.secret_scan import FEATURES, candidates, forest_share, label_findings, scan_secrets, train_forest
 from moodmill.llm.spans import regex_spans
 from moodmill.llm.toxicity import score_toxicity, toxicity, train_sentence_model
 
@@ -143,6 +143,37 @@ def test_quoted_values_logins_bearers_and_key_blocks_are_found_whole(spark):
         assert cases[r.i][1] not in r.redacted_text and r.n_secrets == 1
 
 
+def test_keys_without_words_beside_them_are_found(spark):
+    rng = random.Random(21)
+    upper = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=n))
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    uuid = lambda: "-".join(hexes(n) for n in (8, 4, 4, 4, 12))
+    forms = [
+        lambda: f"AKIA{upper(16)}", lambda: f'token = "{hexes(40)}"', lambda: f"commit sha1 {hexes(40)}", lambda: f"item {uuid()}",
+        lambda: "uncharacteristically", lambda: str(rng.randrange(10**15, 10**16)),
+    ]
+    rows = [(i, f"some words {forms[i % 6]()} and some more") for i in range(240)]
+    # A form that no rule labels: keys of an issuer whose prefix is not known.
+    rows += [(1000 + i, f"some words QRST{upper(16)} and some more") for i in range(20)]
+    got = {r.doc_id: r.n_secrets for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(240):
+        assert got[i] == (i % 6 < 2), rows[i]
+    assert sum(got[1000 + i] for i in range(20)) >= 18
+
+
+def test_labels_of_findings(spark):
+    base = dict.fromkeys(FEATURES, 0.0) | {"length": 30.0, "digits": 0.4}
+    cases = [
+        ({}, 1.0, 1.0), ({"word_against": 1.0}, 1.0, None), ({}, 0.0, 0.0), ({"word_for": 1.0, "assigned": 1.0}, None, 1.0),
+        ({"word_for": 1.0, "assigned": 1.0, "digits": 0.0}, None, None), ({"digits": 0.0}, None, 0.0), ({"word_against": 1.0}, None, 0.0), ({}, None, None),
+    ]
+    for change, form, want in cases:
+        row = [[float((base | change)[n]) for n in FEATURES], form]
+        got = label_findings(spark.createDataFrame([row], "features array<double>, form double")).collect()
+        assert [r.label for r in got] == ([] if want is None else [want, want])
+        assert not got or all(got[1].features[FEATURES.index(n)] == 0 for n in ("word_for", "word_against", "assigned"))
+
+
 def test_forest_expression_votes_as_the_forest(spark):
     rng = np.random.default_rng(0)
     x = rng.random((300, len(FEATURES)))
