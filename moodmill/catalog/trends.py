@@ -152,6 +152,46 @@ def topic_trend(spark, d):
     )
 
 
+@query(
+    with_(
+        *_TAGGED, _BY_TOPIC,
+        """
+span AS (SELECT topic, min(day) AS first, max(day) AS last FROM byday GROUP BY topic)""",
+        "calendar AS (SELECT topic, unnest(generate_series(first, last, INTERVAL 1 DAY))::DATE AS asked FROM span)",
+        f"""
+sums AS (
+  SELECT c.topic, c.asked, max(b.day) AS as_of, coalesce(sum(sample_size) FILTER (c.asked - b.day < 7), 0)::BIGINT AS current_sample_size,
+    coalesce(sum(sample_size) FILTER (c.asked - b.day >= 7), 0)::BIGINT AS baseline_sample_size,
+    count(*) FILTER (c.asked - b.day >= 7) AS baseline_days,
+    sum(sum_polarity) FILTER (c.asked - b.day < 7) / sum(sample_size) FILTER (c.asked - b.day < 7) AS cur,
+    sum(sum_polarity) FILTER (c.asked - b.day >= 7) / sum(sample_size) FILTER (c.asked - b.day >= 7) AS base,
+    stddev_samp(sum_polarity / sample_size) FILTER (c.asked - b.day >= 7) AS spread,
+    {", ".join(f"sum({c}) FILTER (c.asked - b.day {op} 7) AS {p}_{c[2:]}" for c in COUNTS for p, op in (("now", "<"), ("before", ">=")))}
+  FROM calendar c JOIN byday b ON b.topic = c.topic AND c.asked - b.day BETWEEN 0 AND 34 GROUP BY ALL)""",
+        f"""
+judged AS (
+  SELECT *, current_sample_size > 0 AND baseline_days >= 3 AND coalesce(spread, 0) > 1e-9 AND asked - as_of <= 7 AS defined,
+    {_modal("now_")} AS now_label, {_modal("before_")} AS before_label FROM sums)""",
+        """SELECT topic, strftime(asked, '%Y-%m-%d') AS day, strftime(as_of, '%Y-%m-%d') AS as_of, (asked - as_of)::BIGINT AS stale_days,
+  current_sample_size, baseline_sample_size, baseline_days, round(coalesce(cur, 0), 6) AS current_mean_polarity,
+  round(coalesce(base, 0), 6) AS baseline_mean_polarity, round(CASE WHEN defined THEN cur - base ELSE 0 END, 6) AS delta,
+  round(CASE WHEN defined THEN (cur - base) / spread ELSE 0 END, 5) AS z_score, now_label AS current_modal_label,
+  before_label AS baseline_modal_label, (defined AND now_label <> before_label)::BIGINT AS label_flipped,
+  CASE WHEN NOT defined THEN 'UNSPECIFIED' WHEN cur - base > 0.001 THEN 'IMPROVING' WHEN cur - base < -0.001 THEN 'DECLINING'
+    ELSE 'STABLE' END AS direction
+FROM judged""",
+    )
+)
+def topic_trend_daily(spark, d):
+    t = T.rolling_trend(_by_topic(spark, d), keys=("topic",), flat=0.001)
+    for c in ("day", "as_of"):
+        t = t.withColumn(c, F.date_format(c, "yyyy-MM-dd"))
+    t = t.withColumn("z_score", F.round("z_score", 5))
+    return longs(
+        rounded(t, "current_mean_polarity", "baseline_mean_polarity", "delta"), "stale_days", "label_flipped"
+    )
+
+
 def _by_topic(spark, d):
     tagged = tagged_with_topics(score_documents(corpus(spark, d, spread=True), BACKEND), TOPICS)
     return T.topic_daily(tagged, keys=("topic",))

@@ -119,9 +119,6 @@ def trend(series: DataFrame, today: dt.date | str, window: int = 7, baseline: in
     def pooled(mask: Column, name: str) -> Column:
         return F.sum(F.when(mask, F.col(name)))
 
-    def modal(prefix: str) -> Column:
-        return modal_label([f"{prefix}_{c}" for c in COUNTS])
-
     rows = series.where((age >= 0) & (age < window + baseline))
     summed = rows.groupBy(*keys).agg(
         F.max("day").alias("as_of"),
@@ -134,6 +131,51 @@ def trend(series: DataFrame, today: dt.date | str, window: int = 7, baseline: in
         *[pooled(now, c).alias(f"now_{c}") for c in COUNTS],
         *[pooled(before, c).alias(f"before_{c}") for c in COUNTS],
     )
+    return _judged(summed, at, keys, window, flat)
+
+
+def rolling_trend(series: DataFrame, window: int = 7, baseline: int = 28,
+                  keys: Sequence[str] = ("topic", "platform"), flat: float = 0.0) -> DataFrame:
+    """``trend`` as of every day from a series' first to its last, with that ``day`` as a column.
+
+    Both periods are frames over dates, so a series is shuffled once however many
+    days it has, and days without documents have a trend too. A day with nothing
+    in either period has no row, as ``trend`` has none then.
+    """
+    span = series.groupBy(*keys).agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
+    calendar = span.select(*keys, F.explode(F.sequence("_first", "_last")).alias("day"))
+    marked = series.select(*keys, "day", *MOMENTS, "mean_polarity", F.lit(0).alias("_gap"))
+    # The calendar as rows without moments: a union needs no join, and sums skip NULL.
+    gaps = calendar.withColumn("_gap", F.lit(1))
+    filled = marked.unionByName(gaps, allowMissingColumns=True)
+    by_date = Window.partitionBy(*keys).orderBy(F.unix_date("day"))
+    whole = by_date.rangeBetween(1 - window - baseline, 0)
+    now, before = by_date.rangeBetween(1 - window, 0), by_date.rangeBetween(1 - window - baseline, -window)
+
+    def pooled(frame, name: str) -> Column:
+        return F.sum(name).over(frame)
+
+    summed = filled.select(
+        *keys, "day", "_gap",
+        F.max(F.when(F.col("_gap") == 0, F.col("day"))).over(whole).alias("as_of"),
+        F.coalesce(pooled(now, "sample_size"), F.lit(0)).alias("current_sample_size"),
+        F.coalesce(pooled(before, "sample_size"), F.lit(0)).alias("baseline_sample_size"),
+        F.try_divide(pooled(now, "sum_polarity"), pooled(now, "sample_size")).alias("_current"),
+        F.try_divide(pooled(before, "sum_polarity"), pooled(before, "sample_size")).alias("_baseline"),
+        F.count("sample_size").over(before).alias("baseline_days"),
+        F.stddev_samp("mean_polarity").over(before).alias("_spread"),
+        *[pooled(now, c).alias(f"now_{c}") for c in COUNTS],
+        *[pooled(before, c).alias(f"before_{c}") for c in COUNTS],
+    )
+    days = summed.where((F.col("_gap") == 1) & F.col("as_of").isNotNull())
+    return _judged(days, F.col("day"), (*keys, "day"), window, flat)
+
+
+def _judged(summed: DataFrame, at: Column, keys: Sequence[str], window: int, flat: float) -> DataFrame:
+    """Trends from the sums of both periods, as of ``at``."""
+    def modal(prefix: str) -> Column:
+        return modal_label([f"{prefix}_{c}" for c in COUNTS])
+
     stale_days = F.date_diff(at, F.col("as_of"))
     defined = (
         (F.col("current_sample_size") > 0)

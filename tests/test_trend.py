@@ -54,6 +54,29 @@ def test_undefined_trends(spark):
         assert (r["direction"], r["delta"], r["z_score"], r["label_flipped"]) == ("UNSPECIFIED", 0.0, 0.0, False)
 
 
+def test_rolling_trend_is_the_trend_of_every_day(spark):
+    # Gaps of a week, of more than both periods, and days of one and of many documents.
+    ages = [0, 1, 2, 5, 14, 15, 16, 17, 30, 31, 33, 80, 81, 83, 84]
+    s = series(spark, {a: [((a * 7 + i * 3) % 11 - 5) / 5 for i in range(1 + a % 4)] for a in ages}).unionByName(
+        series(spark, {3: [0.4], 4: [-0.4]}, "other")
+    ).cache()
+    got = {(r["topic"], r["day"]): r.asDict() for r in T.rolling_trend(s, flat=0.01).collect()}
+    first = dt.date(2026, 8, 31) - dt.timedelta(days=84)
+    want = {}
+    for n in range(0, 85, 4):
+        at = first + dt.timedelta(days=n)
+        for r in T.trend(s, at, flat=0.01).collect():
+            want[r["topic"], at] = r.asDict()
+    own = {k: r for k, r in got.items() if (k[1] - first).days % 4 == 0}
+    # A series has rows from its first to its last day only.
+    want = {k: r for k, r in want.items() if k[0] == "t" or k[1] <= dt.date(2026, 8, 28)}
+    assert own.keys() == want.keys() and len(own) < 22 + 1
+    for key, r in want.items():
+        assert own[key].pop("day") == key[1]
+        assert own[key] == {k: pytest.approx(v, abs=1e-9) if isinstance(v, float) else v for k, v in r.items()}
+    assert sum(k[0] == "other" for k in got) == 2
+
+
 def test_alerts(spark):
     s = series(spark, {**{a: [0.1 * (a % 3)] for a in range(7, 35)}, **{a: [0.9] * 4 for a in range(7)}})
     rules = [T.AlertRule("POLARITY_SWING", 2.0), T.AlertRule("VOLUME_SPIKE", 3.0), T.AlertRule("LABEL_FLIP")]
