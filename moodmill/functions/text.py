@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import html
 from collections.abc import Callable
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Whitespace as str.split() sees it: Unicode White_Space plus the four
 # information separators. Once as a regex class, once as trim characters.
@@ -56,19 +54,75 @@ def join_non_empty(separator: str, *values: Column | str) -> Column:
     return F.concat_ws(separator, *[F.nullif(as_col(v), F.lit("")) for v in values])
 
 
-def _unescape(values: pd.Series) -> pd.Series:
-    return values.map(html.unescape, na_action="ignore")
+# What a reference may be, without its ampersand.
+_REFERENCE = r"^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# Names that also count without a semicolon, whatever follows; the longest first.
+_OPEN_NAMES = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)) + ")"
+_PAIR, _KEY = "\x01", "\x02"
+_NAMED = _PAIR.join(name + _KEY + value for name, value in html5.items())
+_NUMBERED = _PAIR.join(
+    f"{n}{_KEY}{bytes([n]).decode('cp1252', 'ignore') or chr(n)}" for n in range(0x80, 0xA0)
+)
+
+
+def _table(pairs: str) -> Column:
+    """A constant map from one literal, which the planner folds."""
+    return F.str_to_map(F.lit(pairs), F.lit(_PAIR), F.lit(_KEY))
+
+
+def _numbered(ref: Column) -> Column:
+    hexed = F.lower(F.substring(ref, 2, 1)) == "x"
+    digits = F.regexp_replace(ref, "^#[xX]?0*|;$", "")
+    # More digits than the last code point has; also keeps conversions in range.
+    huge = F.length(digits) > F.when(hexed, 6).otherwise(7)
+    short = F.when(huge | (digits == ""), F.lit("0")).otherwise(digits)
+    number = F.when(hexed, F.conv(short, 16, 10)).otherwise(short).cast("long")
+
+    def decoded(n: Column) -> Column:
+        char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        control = n.between(0x01, 0x08) | n.between(0x0E, 0x1F) | (n == 0x0B) | (n == 0x7F)
+        no_character = n.between(0xFDD0, 0xFDEF) | (n % 0x10000 >= 0xFFFE)
+        return (
+            F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
+            .when(n.between(0x80, 0x9F), F.try_element_at(_table(_NUMBERED), n.cast("string")))
+            .when(control | no_character, F.lit(""))
+            .otherwise(char)
+        )
+
+    return let(number, decoded)
+
+
+def _decoded_reference(ref: Column) -> Column:
+    def by_start(start: Column) -> Column:
+        rest = ref.substr(F.length(start) + 1, F.length(ref))
+        return F.when(start == "", F.concat(F.lit("&"), ref)).otherwise(
+            F.concat(F.try_element_at(_table(_NAMED), start), rest)
+        )
+
+    named = F.coalesce(
+        F.try_element_at(_table(_NAMED), ref), let(F.regexp_extract(ref, _OPEN_NAMES, 1), by_start)
+    )
+    return F.when(F.startswith(ref, F.lit("#")), _numbered(ref)).otherwise(named)
 
 
 def decode_entities(text: Column | str) -> Column:
-    """Decode every HTML entity.
+    """Decode every HTML entity, as browsers read them.
 
-    Spark has no such function, so rows holding an ampersand go through one
-    Arrow batch function; all others send NULL and never leave the JVM.
+    The text is cut before each ampersand; a piece that starts with a reference
+    gets it replaced, by name from one constant table or by number.
     """
     text = as_col(text)
-    unescape = F.pandas_udf(_unescape, T.StringType())
-    return F.coalesce(unescape(F.when(F.contains(text, F.lit("&")), text)), text)
+
+    def piece(p: Column) -> Column:
+        def put(ref: Column) -> Column:
+            return F.when(ref == "", p).otherwise(
+                F.concat(_decoded_reference(ref), p.substr(F.length(ref) + 2, F.length(p)))
+            )
+
+        return let(F.regexp_extract(p, _REFERENCE, 1), put)
+
+    pieces = F.array_join(F.transform(F.split(text, "(?=&)"), piece), "")
+    return F.when(F.contains(text, F.lit("&")), pieces).otherwise(text)
 
 
 def strip_html(text: Column | str) -> Column:

@@ -1,5 +1,6 @@
 import hashlib
 import html
+import html.entities
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,17 @@ def test_html(spark):
     assert cleaned == ["first\nsecond x > y"]
 
 
+def test_every_entity_decodes_natively(spark):
+    names = list(html.entities.html5)
+    texts = ["x".join(f"&{n}" for n in names[i::40]) for i in range(40)] + [f"&{n} &{n}1;" for n in names[::9]]
+    numbers = [*range(0, 0x200), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFD, 0xFFFE, 0x1F600, 0x1FFFF, 0x10FFFD, 0x10FFFF, 0x110000, 9999999, 10**30]
+    texts += ["".join(f"&#{n};|&#x{n:x}|&#X00{n:X};" for n in numbers[i::8]) for i in range(8)]
+    texts += ["&", "&&amp;&", "&#;", "&#x;", "&#xg", "a & b", "&notit; &ampx &amp=1", "&" + "q" * 40 + ";", "", None, "&é;", "&amp;" * 5000]
+    assert values(spark, texts, X.decode_entities) == [t if t is None else html.unescape(t) for t in texts]
+    df = spark.createDataFrame([("a&amp;",)], "t string").select(X.decode_entities("t"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(
     ("topic", "symbol"),
     [
