@@ -135,12 +135,13 @@ def topic_ndjson(spark, d):
     )
 )
 def analysis_json(spark, d):
-    line = X.analysis_envelope(topic_analysis(spark, d))
-    size = lambda p: F.size(F.json_object_keys(_field(p))).cast("long")
-    return line.select(
-        _field("$.topic").alias("topic"), F.json_array_length(_field("$.results")).cast("long").alias("results"),
-        size("$.by_platform").alias("platforms"), size("$.by_aspect").alias("aspects"),
-        _field("$.partial").alias("partial"),
+    rows = X.analysis_envelope(topic_analysis(spark, d))
+    value = lambda field: F.max(F.when(F.col("field") == field, F.col("value")))
+    size = lambda field: F.size(F.json_object_keys(value(field))).cast("long")
+    is_result = (F.col("field") == "results") & F.json_object_keys("value").isNotNull()
+    return rows.agg(
+        F.get_json_object(value("topic"), "$").alias("topic"), F.count_if(is_result).alias("results"),
+        size("by_platform").alias("platforms"), size("by_aspect").alias("aspects"), value("partial").alias("partial"),
     )
 
 

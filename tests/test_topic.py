@@ -131,3 +131,29 @@ def test_json_and_xml(spark, tmp_path):
     xml = "".join(lines(tmp_path / "x" / "results"))
     assert '<result platform="rss" id="rss-0">' in xml and "probabilities" not in xml
     assert "<sample_size>3</sample_size>" in "".join(lines(tmp_path / "x" / "aggregate"))
+
+
+def test_json_of_many_results_is_cut_between_results(spark, tmp_path):
+    a = run(spark, aspects=["love", "robinhood"])
+    by_field = X.analysis_envelope(a).groupBy("field").count().collect()
+    assert {r["field"]: r["count"] for r in by_field} == {
+        "topic": 1, "results": 4, "aggregate": 1, "by_platform": 1, "by_aspect": 1, "partial": 1,
+    }
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        X.export_analysis_json(a, str(tmp_path / "j"))
+    finally:
+        spark.conf.set(coalesce, before)
+    assert len(list((tmp_path / "j").glob("part-*"))) > 1
+    body = json.loads("".join(lines(tmp_path / "j")))
+    assert [r["document"]["document"]["id"] for r in body["results"]] == ["b-1", "rss-0", "rss-1", "rss-2"]
+    assert body["aggregate"]["sample_size"] == 4 and body["partial"] is False and "warnings" not in body
+
+
+def test_json_of_nothing(spark, tmp_path):
+    X.export_analysis_json(run(spark, topic="z\"zz", aspects=["love"]), str(tmp_path / "j"))
+    body = json.loads("".join(lines(tmp_path / "j")))
+    assert body["topic"] == "z\"zz" and body["results"] == [] and body["by_platform"] == {} == body["by_aspect"]
+    assert body["aggregate"]["sample_size"] == 0
