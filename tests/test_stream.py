@@ -144,3 +144,15 @@ def test_scored_stream_equals_batch(spark, tmp_path):
 def test_route_counts(spark):
     counts = {r["route"]: r["rows"] for r in J.route_counts(J.route_events(events(spark, SCRIPT), FILTER)).collect()}
     assert counts == {"document": 2, "skipped": 2, "doc_tombstone": 1, "account_tombstone": 1, "ignored": 1}
+
+
+def test_refused_posts_leave_their_text_before_state(spark):
+    rows = [("document", "kept"), ("skipped", "refused"), ("doc_tombstone", None)]
+    routed = spark.createDataFrame(
+        [(r, t, ["en"], "2024-01-01T00:00:00Z", i) for i, (r, t) in enumerate(rows)],
+        "route string, text string, langs array<string>, created_at string, time_us long",
+    )
+    got = J.without_refused_text(routed).orderBy("time_us").collect()
+    assert [(r["route"], r["text"], r["langs"], r["time_us"]) for r in got] == [
+        ("document", "kept", ["en"], 0), ("skipped", None, None, 1), ("doc_tombstone", None, None, 2),
+    ]
