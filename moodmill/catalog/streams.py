@@ -120,10 +120,12 @@ def firehose_tombstones(spark, d):
     return J.tombstones(J.route_events(events(spark, d), FILTER)).select("scope", "doc_id", "author_did", "deleted_at")
 
 
-def stream_events(spark: SparkSession, d: str) -> DataFrame:
-    """The events table read as a stream, joined to the static documents."""
+def stream_events(spark: SparkSession, d: str, replayed: bool = False) -> DataFrame:
+    """The events table read as a stream, or as two if it is ``replayed``, joined to the static documents."""
     schema = table(spark, d, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    read = lambda: spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    # Joined once for both: the documents move once.
+    source = read().unionByName(read()) if replayed else read()
     return _as_events(source, table(spark, d, "documents"))
 
 
@@ -169,8 +171,7 @@ GROUP BY route""",
 )
 def replayed_stream(spark, d):
     # Every event arrives twice, as after a reconnect; one of each is kept.
-    source = stream_events(spark, d)
-    root = _stream_to_corpus(spark, d, source.unionByName(stream_events(spark, d)), "replayed-stream")
+    root = _stream_to_corpus(spark, d, stream_events(spark, d, replayed=True), "replayed-stream")
     docs = read_documents(spark, root).select(F.lit("document").alias("route"))
     tombs = read_tombstones(spark, root).select(F.concat("scope", F.lit("_tombstone")).alias("route"))
     return docs.unionByName(tombs).groupBy("route").agg(F.count("*").alias("rows"))
