@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from moodmill.files import exists
 from moodmill.functions.aspects import mine_aspects
 from moodmill.operators import labels as L
 from moodmill.operators.sampling import hash_cap
@@ -65,11 +66,21 @@ def label_training_set(spark: SparkSession, train_path: str, labels_path: str, b
 def label_aspect_pairs(spark: SparkSession, train_path: str, labels_path: str, backend: Backend,
                        teacher_version: str, mine=mine_aspects, docs_cap: int | None = None,
                        max_pairs: int | None = None, flushes: int = 1,
-                       per_doc: int | None = L.MAX_ASPECTS_PER_DOC) -> dict[str, int]:
-    """Mine aspects from the training set, or a fixed slice of it, and label the pairs."""
+                       per_doc: int | None = L.MAX_ASPECTS_PER_DOC, mined_path: str | None = None) -> dict[str, int]:
+    """Mine aspects from the training set, or a fixed slice of it, and label the pairs.
+
+    Pairs mined into ``mined_path`` by an earlier call are taken from there; the
+    caller names a path of its own for each training set and way of mining.
+    """
     train = spark.read.parquet(train_path).select("platform", "doc_id", "text")
-    checkpoint_dir(spark)
     # Stored once, so that capping, counting and labelling do not mine again.
-    mined = L.all_mined_pairs(train, mine, docs_cap, per_doc).checkpoint()
+    mined = L.all_mined_pairs(train, mine, docs_cap, per_doc)
+    if mined_path is None:
+        checkpoint_dir(spark)
+        mined = mined.checkpoint()
+    else:
+        if not exists(spark, f"{mined_path}/_SUCCESS"):
+            mined.write.mode("overwrite").parquet(mined_path)
+        mined = spark.read.schema(mined.schema).parquet(mined_path)
     pairs = mined if max_pairs is None else hash_cap(mined, max_pairs, L.PAIR_KEY)
     return _label(pairs, labels_path, backend, teacher_version, ASPECT_LABELS, L.PAIR_KEY, flushes, "aspect")
