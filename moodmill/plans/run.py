@@ -13,7 +13,6 @@ from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
-from moodmill.files import delete
 from moodmill.operators import labels as L
 from moodmill.operators.gate import ASPECT_GATE, DOC_GATE, GateConfig
 from moodmill.operators.sampling import MIN_LABELED_ROWS
@@ -60,10 +59,6 @@ class RunConfig:
     def train_path(self) -> str:
         return f"{self.run_dir}/train"
 
-    @property
-    def mined_path(self) -> str:
-        return f"{self.run_dir}/mined/docs-{'all' if self.mine_docs is None else self.mine_docs}"
-
     def labels_path(self, kind: str) -> str:
         # Shared by all runs: labels outlive the training set they came from.
         return f"{self.out_root}/labels/{kind}"
@@ -107,8 +102,6 @@ def run_training(spark: SparkSession, cfg: RunConfig, teacher: Backend, aspect_t
     if manifest:
         summary["prep"] = manifest["stats"]
     else:
-        # Pairs of another training set are not this one's.
-        delete(spark, f"{cfg.run_dir}/mined")
         prep = PrepConfig(cfg.corpus_root, cfg.train_path, cfg.max_sequences)
         summary["prep"] = asdict(build_training_set(spark, prep))
 
@@ -119,7 +112,6 @@ def run_training(spark: SparkSession, cfg: RunConfig, teacher: Backend, aspect_t
     summary["label_aspects"] = label_aspect_pairs(
         spark, cfg.train_path, pairs_path, aspect_teacher, cfg.aspect_teacher_version,
         docs_cap=cfg.mine_docs, max_pairs=cfg.aspect_pairs, flushes=cfg.flushes,
-        mined_path=cfg.mined_path,
     )
 
     train = spark.read.parquet(cfg.train_path)
