@@ -1,5 +1,6 @@
 import json
 
+from moodmill.catalog.streams import stream_events
 from moodmill.operators.scoring import DEFAULT_BACKEND
 from moodmill.sources.corpus import read_documents, read_tombstones
 from moodmill.streaming import firehose as J
@@ -156,3 +157,11 @@ def test_refused_posts_leave_their_text_before_state(spark):
     assert [(r["route"], r["text"], r["langs"], r["time_us"]) for r in got] == [
         ("document", "kept", ["en"], 0), ("skipped", None, None, 1), ("doc_tombstone", None, None, 2),
     ]
+
+
+def test_replayed_events_meet_documents_in_one_join(spark, tmp_path):
+    spark.sql("SELECT 0L AS event_id, timestamp'2024-01-01' AS ts, 1L AS user_id, 'view' AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("SELECT 0L AS doc_id, 'some text' AS text, 'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    for replayed in (False, True):
+        plan = stream_events(spark, str(tmp_path), replayed)._jdf.queryExecution().analyzed().toString()
+        assert plan.count("Join LeftOuter") == 1 and plan.count("StreamingRelation") == 1 + replayed
