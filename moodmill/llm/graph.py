@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodmill.llm.common import stored
+from moodmill.llm.common import side_of, stored
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -20,19 +20,19 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = stored(
         links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    last = None
+    rows, last = edges.count(), None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(side_of(low, 2 * rows), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(side_of(least, rows), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
-        last = now
+        rows, last = now[0], now
     else:
         raise RuntimeError(f"components still change after {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(roots)
+    return side_of(edges.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(roots), 2 * rows)

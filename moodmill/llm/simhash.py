@@ -199,8 +199,9 @@ def fingerprint_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     posts = classes.select("code", "node", F.posexplode(masks).alias("mask", "key"))
     sizes = posts.groupBy("mask", "key").count().filter("count > 1")
     blocks = F.ceil(F.col("count") / BLOCK_CLASSES).cast("int")
+    # The planner sizes posts, and so their counts, as if there were one a class, and would broadcast either side.
     placed = stored(
-        posts.join(sizes.select("mask", "key", blocks.alias("blocks")), ["mask", "key"])
+        posts.join(sizes.select("mask", "key", blocks.alias("blocks")).hint("merge"), ["mask", "key"])
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     )
     bucket = ["mask", "key", "block"]

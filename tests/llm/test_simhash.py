@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 import moodmill.llm.simhash as sh
+from moodmill.llm import common, graph
 from moodmill.llm.simhash import covering_masks, fingerprint, link_across, link_block, simhash_components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -112,6 +113,35 @@ def test_components_match_all_pairs(spark, monkeypatch, block):
     assert found(df.repartition(5)) == brute_components(rows)
 
 
+def test_sizes_of_buckets_are_never_broadcast(spark, monkeypatch):
+    plans, store = [], sh.stored
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(sh, "stored", seen)
+    rows = family_rows()[:60]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
+    (placed,) = [p for p in plans if "Generate posexplode" in p]
+    assert "SortMergeJoin" in placed and "Broadcast" not in placed
+
+
+def test_components_of_many_links_broadcast_nothing(spark, monkeypatch):
+    rng = random.Random(4)
+    links = [(a, b) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(200)) if a != b]
+    want = roots({n for link in links for n in link}, links)
+    for few in (10**6, 10):
+        plans, store = [], graph.stored
+        monkeypatch.setattr(common, "BROADCAST_IDS", few)
+        monkeypatch.setattr(graph, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df))
+        got = graph.components(spark.createDataFrame(links, "a long, b long"))
+        monkeypatch.setattr(graph, "stored", store)
+        assert dict(map(tuple, got.collect())) == want
+        rounds = [p for p in plans if "Join" in p]
+        assert rounds and all(("Broadcast" in p) == (few > 10) for p in rounds)
+
+
 def test_repeated_ids_and_null_ids(spark):
     text, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
     rows = [(5, text), (5, text), (3, text), (9, other), (9, text), (7, other), (8, "x " * 20_000)]
