@@ -127,6 +127,40 @@ def test_late_events_and_replays(spark, tmp_path):
     assert stored(spark, tmp_path) == both
 
 
+HEAP_STATE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def state_files(tmp_path):
+    return {f.suffix for f in (tmp_path / "ckpt" / "state").rglob("*")} & {".zip", ".delta"}
+
+
+def test_state_of_replays_is_not_in_the_heap(spark, tmp_path):
+    assert all(spark.conf.get(k, None) is None for k in J.STATE)
+    land(tmp_path, "a.jsonl", [*SCRIPT, *SCRIPT])
+    start(spark, tmp_path)
+    # RocksDB keeps archives of its files, state in the heap keeps changes.
+    assert state_files(tmp_path) == {".zip"}
+    assert all(spark.conf.get(k, None) is None for k in J.STATE)
+    land(tmp_path, "b.jsonl", [*SCRIPT, post("did:x:olga", NOON + 9, "k9", POST, ["en"])])
+    start(spark, tmp_path)
+    assert stored(spark, tmp_path) == (["k1", "k2", "k9"], [("account", "nils"), ("doc", "t/k5")])
+
+
+def test_checkpoint_with_state_in_the_heap_resumes(spark, tmp_path):
+    land(tmp_path, "a.jsonl", SCRIPT)
+    spark.conf.set(PROVIDER, HEAP_STATE)
+    try:
+        start(spark, tmp_path)
+        assert spark.conf.get(PROVIDER) == HEAP_STATE
+    finally:
+        spark.conf.unset(PROVIDER)
+    land(tmp_path, "b.jsonl", [*SCRIPT, post("did:x:olga", NOON + 9, "k9", POST, ["en"])])
+    start(spark, tmp_path)
+    assert stored(spark, tmp_path) == (["k1", "k2", "k9"], [("account", "nils"), ("doc", "t/k5")])
+    assert state_files(tmp_path) == {".delta"}
+
+
 def test_scored_stream_equals_batch(spark, tmp_path):
     land(tmp_path, "a.jsonl", [post("d", i * 86_400_000_000, f"r{i}", POST + (" great" if i % 2 else " awful"), ["en"]) for i in range(6)])
     source = J.firehose_source(spark, str(tmp_path / "landing"))
